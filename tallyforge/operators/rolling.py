@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BLOCKS_PER_TASK = 8
 KINDS = {"int": T.IntegerType(), "bigint": T.LongType(), "string": T.StringType()}
 
 
@@ -91,4 +92,6 @@ def rolling_totals(
         return pa.Table.from_arrays(out, names=schema.names)
 
     daily = daily_totals(df, keys, day, value).withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
-    return daily.select("block", *keys, "day", "total").groupBy("block").applyInArrow(block, schema)
+    # rows grow about span-fold in a block's task, so its number of tasks follows the result, not the shuffle's bytes
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-blocks // BLOCKS_PER_TASK))
+    return daily.select("block", *keys, "day", "total").repartition(tasks, "block").groupBy("block").applyInArrow(block, schema)
