@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.config import DEFAULTS, EngineConfig
 from tallyforge.operators.cubes import dictionary_codes, grain_months, month_start
 
+BLOCKS = ("item", "location", "events", "category", "brand")
 LAGS = (1, 2, 3, 4, 5, 6)
 
 
@@ -112,35 +113,46 @@ def with_status(cube: DataFrame, items: DataFrame) -> DataFrame:
     return known.drop("sale_status").fillna("__missing__", ["category", "brand"])
 
 
-def monthly_frame(cube: DataFrame, events: DataFrame, items: DataFrame, targets: list[int], start: int, label: bool = True, config: EngineConfig = DEFAULTS, codes: bool = True) -> DataFrame:
+def monthly_frame(cube: DataFrame, events: DataFrame, items: DataFrame, targets: list[int], start: int, label: bool = True, config: EngineConfig = DEFAULTS, codes: bool = True, blocks: tuple[str, ...] = BLOCKS) -> DataFrame:
     """The feature table of all targets: a row for each pair with sales before the target and target month t.
 
     cube is the pair cube from start to the last target, events the item's event cube. Every grain is
-    aggregated once for all targets; item, location, category and brand blocks are joined to the pairs.
+    aggregated once for all targets; item, location, category and brand blocks are joined to the pairs. blocks
+    names those a consumer needs: an outer join is not pruned by itself when its columns are.
     """
     sold = with_status(cube, items)
     history = sold.where(F.col("m") < max(targets))
     pair = for_targets(history, targets).groupBy("location", "item_id", "category", "brand", "t").agg(F.sum("qty").alias("__seen")).where(F.col("__seen") > 0).drop("__seen")
     full, short = True, False
     frame = pair.join(series_features(history, ["location", "item_id"], {"li_qty": ("qty", full), "li_rev": ("rev", short)}, targets, start), ["location", "item_id", "t"])
-    item = series_features(grain_months(history, "item_id"), ["item_id"], {"item_qty": ("qty", full), "item_rev": ("rev", short), "item_active_locs": ("active", short)}, targets, start)
-    place = series_features(grain_months(history, "location"), ["location"], {"loc_qty": ("qty", full), "loc_rev": ("rev", short), "loc_active_items": ("active", short)}, targets, start)
-    seen = series_features(events.groupBy("item_id", "m").agg(F.sum("view_count").alias("view_count"), F.sum("atc_count").alias("atc_count")), ["item_id"], {"view_item": ("view_count", short), "add_to_cart": ("atc_count", short)}, targets, start)
-    frame = frame.join(item, ["item_id", "t"], "left").join(place, ["location", "t"], "left").join(seen, ["item_id", "t"], "left")
+    if "item" in blocks:
+        item = {"item_qty": ("qty", full), "item_rev": ("rev", short), "item_active_locs": ("active", short)}
+        frame = frame.join(series_features(grain_months(history, "item_id"), ["item_id"], item, targets, start), ["item_id", "t"], "left")
+    if "location" in blocks:
+        place = {"loc_qty": ("qty", full), "loc_rev": ("rev", short), "loc_active_items": ("active", short)}
+        frame = frame.join(series_features(grain_months(history, "location"), ["location"], place, targets, start), ["location", "t"], "left")
+    if "events" in blocks:
+        counts = events.groupBy("item_id", "m").agg(F.sum("view_count").alias("view_count"), F.sum("atc_count").alias("atc_count"))
+        seen = {"view_item": ("view_count", short), "add_to_cart": ("atc_count", short)}
+        frame = frame.join(series_features(counts, ["item_id"], seen, targets, start), ["item_id", "t"], "left")
     for key, prefix in (("category", "cat_qty"), ("brand", "brand_qty")):
-        frame = frame.join(series_features(grain_months(history, key), [key], {prefix: ("qty", full)}, targets, start), [key, "t"], "left")
+        if key in blocks:
+            frame = frame.join(series_features(grain_months(history, key), [key], {prefix: ("qty", full)}, targets, start), [key, "t"], "left")
     frame = frame.fillna(0.0, [c for c, k in frame.dtypes if k == "double"])
     if codes:
         for key, code in (("location", "location_code"), ("item_id", "item_code"), ("category", "category_code"), ("brand", "brand_code")):
             frame = frame.join(dictionary_codes(sold.select(F.col(key)), key, code), key)
     angle = (F.col("t") - 1) % 12 + 1
     frame = frame.withColumns({"target_month_idx": F.col("t") - start + 1, "month_sin": F.round(F.sin(angle * (2 * math.pi / 12)), 6), "month_cos": F.round(F.cos(angle * (2 * math.pi / 12)), 6)})
-    frame = frame.withColumns(conversion_columns())
+    if {"item", "events"} <= {*blocks}:
+        frame = frame.withColumns(conversion_columns())
     if config.calendar_features:
         frame = with_new_year(frame, targets, config)
-    if config.event_features:
+    if config.event_features and {"item", "events"} <= {*blocks}:
         frame = frame.withColumns(event_columns())
-    frame = frame.withColumns({"baseline_lag1": F.col("li_qty_lag1"), "baseline_rolling3": F.col("li_qty_roll_mean_3"), "baseline_weighted": weighted_baseline()})
+    frame = frame.withColumns({"baseline_lag1": F.col("li_qty_lag1"), "baseline_rolling3": F.col("li_qty_roll_mean_3")})
+    if {"item", "location"} <= {*blocks}:
+        frame = frame.withColumn("baseline_weighted", weighted_baseline())
     if label:
         truth = sold.where(F.col("m").isin(targets)).select("location", "item_id", F.col("m").alias("t"), F.col("qty").cast("double").alias("target"), F.col("rev").cast("double").alias("target_revenue"))
         frame = frame.join(truth, ["location", "item_id", "t"], "left").fillna(0.0, ["target", "target_revenue"])

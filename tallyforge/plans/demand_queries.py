@@ -17,6 +17,7 @@ from tallyforge.operators import scoring as E
 from tallyforge.operators import tuning as G
 from tallyforge.operators import windows as W
 from tallyforge.plans.demand_sql import SQL as SQL
+from tallyforge.sources.tables import settled
 from tallyforge.sources.views import star_engagement, star_items, star_sales
 
 CUTOFF = datetime.date(1998, 11, 30)
@@ -47,20 +48,25 @@ def _cube(spark: SparkSession, d: str, last: int = TARGET) -> DataFrame:
     return C.sales_months(star_sales(spark, d), START, last)
 
 
+def _settled_cube(spark: SparkSession, d: str, last: int = TARGET) -> DataFrame:
+    """The pair cube as a written table: the fact table is read once, however many grains are made of it."""
+    return settled(_cube(spark, d, last))
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
     return C.engagement_months(star_engagement(spark, d), START, TARGET)
 
 
-def _frame(spark: SparkSession, d: str, targets=(TARGET,), **kw) -> DataFrame:
-    return M.monthly_frame(_cube(spark, d, max(targets)), _events(spark, d), star_items(spark, d), list(targets), START, **kw)
+def _frame(spark: SparkSession, d: str, targets=(TARGET,), cube: DataFrame | None = None, **kw) -> DataFrame:
+    return M.monthly_frame(_settled_cube(spark, d, max(targets)) if cube is None else cube, _events(spark, d), star_items(spark, d), list(targets), START, **kw)
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
+def _scored(spark: SparkSession, d: str, cube: DataFrame | None = None) -> DataFrame:
     """Evaluation rows with three predictions: raw, log (stand-ins for models) and the weighted baseline."""
-    frame = _frame(spark, d, label=False, codes=False)
+    cube = _settled_cube(spark, d) if cube is None else cube
+    frame = _frame(spark, d, cube=cube, label=False, codes=False, blocks=("item", "location"))
     predictions = frame.select(*PAIR, F.col("baseline_rolling3").alias("pred_raw"), F.col("baseline_lag1").alias("pred_log"), F.col("baseline_weighted").alias("pred_base"), F.col("li_qty_roll_mean_3").alias("recent"))
     items = star_items(spark, d)
-    cube = _cube(spark, d)
     return E.evaluation_rows(M.with_status(cube, items), predictions, TARGET, ["pred_raw", "pred_log", "pred_base", "recent"], C.unit_prices(M.with_status(cube, items), items))
 
 
@@ -249,24 +255,24 @@ _series_query("growth_trend", "trend_3", "growth_ratio", "lag1_to_roll3")
 
 @query
 def conversion_ratios(spark, d):
-    return rounded(_frame(spark, d, label=False, codes=False).select(*PAIR, "atc_to_view_lag1", "purchase_to_atc_lag1", "atc_to_view_roll3", "purchase_to_atc_roll3"))
+    return rounded(_frame(spark, d, label=False, codes=False, blocks=("item", "events")).select(*PAIR, "atc_to_view_lag1", "purchase_to_atc_lag1", "atc_to_view_roll3", "purchase_to_atc_roll3"))
 
 
 @query
 def event_extras(spark, d):
-    frame = _frame(spark, d, label=False, codes=False, config=replace(DEFAULTS, event_features=True))
+    frame = _frame(spark, d, label=False, codes=False, blocks=("item", "events"), config=replace(DEFAULTS, event_features=True))
     return rounded(frame.select(*PAIR, *M.event_columns()))
 
 
 @query
 def new_year_features(spark, d):
-    frame = _frame(spark, d, (TARGET, TARGET + 1), label=False, config=replace(DEFAULTS, calendar_features=True))
+    frame = _frame(spark, d, (TARGET, TARGET + 1), label=False, blocks=(), config=replace(DEFAULTS, calendar_features=True))
     return rounded(frame.select(*PAIR, "t", "days_to_tet", "weeks_to_tet", "abs_days_to_tet", "is_pre_tet_60d", "is_pre_tet_45d", "is_pre_tet_30d", "is_tet_month", "is_post_tet_30d", *(f"category_pre_tet_{n}d_code" for n in (60, 45, 30))))
 
 
 @query
 def weighted_baseline(spark, d):
-    return rounded(_frame(spark, d, label=False, codes=False).select(*PAIR, "baseline_lag1", "baseline_rolling3", "baseline_weighted"))
+    return rounded(_frame(spark, d, label=False, codes=False, blocks=("item", "location")).select(*PAIR, "baseline_lag1", "baseline_rolling3", "baseline_weighted"))
 
 
 @query
@@ -329,8 +335,8 @@ def validation_table(spark, d):
     return rounded(rows.groupBy("model").agg(E.mae(y, p).alias("mae_quantity"), E.mape(y, p).alias("mape_quantity")).orderBy("mape_quantity"), 4)
 
 
-def _kept(spark, d):
-    return M.with_status(_cube(spark, d), star_items(spark, d))
+def _kept(spark, d, cube=None):
+    return M.with_status(_cube(spark, d) if cube is None else cube, star_items(spark, d))
 
 
 @query
@@ -343,7 +349,8 @@ def q99_caps(spark, d):
 
 
 def _capped_rows(spark, d):
-    return G.with_caps(_scored(spark, d), G.quantile_caps(_kept(spark, d), TARGET - 1))
+    cube = _settled_cube(spark, d)
+    return G.with_caps(_scored(spark, d, cube), G.quantile_caps(_kept(spark, d, cube), TARGET - 1))
 
 
 @query
@@ -399,7 +406,7 @@ def fixed_blends(spark, d):
 
 @query
 def blend_candidates(spark, d):
-    rows = _scored(spark, d)
+    rows = settled(_scored(spark, d))
     return rounded(G.scale_candidates(rows, G.fixed_blends("pred_raw", "pred_log", "pred_base"), {}, {}), 4)
 
 
@@ -424,7 +431,7 @@ def classic_postprocess(spark, d):
 
 
 def _training(spark, d):
-    return _frame(spark, d, TARGETS, codes=False).select(*PAIR, "t", "target", "li_qty_lag1", "li_qty_roll_mean_3")
+    return settled(_frame(spark, d, TARGETS, codes=False, blocks=()).select(*PAIR, "t", "target", "li_qty_lag1", "li_qty_roll_mean_3"))
 
 
 @query
