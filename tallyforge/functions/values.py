@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 WIDE_DIGITS, DIGITS = "０１２３４５６７８９", "0123456789"
 PLAIN = "^[0-9]{1,18}$"
+WHOLE = "^[0-9]{1,18}(?:[.]0{1,2})?$"
 EXPONENT = "([0-9]+)(?:[.,]([0-9]+))?[eE]([+-]?[0-9]{1,2})(?![0-9])"
 RUN = "[0-9](?:[0-9]|[.,'\\u00a0\\u202f ](?=[0-9]))*"
 FRACTION = "[.,][0-9]{1,2}$"
@@ -36,7 +37,7 @@ def amount(c: Column) -> Column:
     one or two digits is cut off."""
     size = F.coalesce(_digits(c).try_cast("bigint"), F.when(c.rlike("[0-9０-９]"), F.lit(MOST)))
     signed = F.when(c.rlike("[-\\u2212][^0-9A-Za-z]*[0-9０-９]") & ~c.rlike("[eE]-[0-9]"), -size).otherwise(size)
-    return F.when(c.rlike(PLAIN), c.try_cast("bigint")).otherwise(signed)
+    return F.when(c.rlike(WHOLE), F.substring_index(c, ".", 1).try_cast("bigint")).otherwise(signed)
 
 
 def valid_location(c: Column) -> Column:
