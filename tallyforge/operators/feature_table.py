@@ -74,12 +74,12 @@ def feature_table(
         kinds = t.column("kind").to_numpy().astype(np.int64)
         on = kinds >= 0
         at, size = row[on] * width + kinds[on], len(ids) * width
-        n = _exact_sums(at, t.column("n").to_numpy()[on], size).reshape(-1, width)
-        total = _exact_sums(at, t.column("total").fill_null(0).to_numpy()[on], size).reshape(-1, width)
+        n = _exact_sums(at, t.column("n").to_numpy()[on], size).reshape(len(ids), width)
+        total = _exact_sums(at, t.column("total").fill_null(0).to_numpy()[on], size).reshape(len(ids), width)
         days = t.column("last_day").cast(pa.int32()).fill_null(-(2**31)).to_numpy()[on].astype(np.int64)
         last = np.full(size, never)
         np.maximum.at(last, at, np.where(days == -(2**31), never, days))
-        last = last.reshape(-1, width)
+        last = last.reshape(len(ids), width)
         if form == "long":
             i, j = np.nonzero(n)
             absent, days = last[i, j] == never, last[i, j]
