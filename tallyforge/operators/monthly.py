@@ -2,7 +2,7 @@
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.config import DEFAULTS, EngineConfig
@@ -18,69 +18,88 @@ def for_targets(cube: DataFrame, targets: list[int]) -> DataFrame:
     return cube.withColumn("t", F.explode(ahead))
 
 
-def series_features(cube: DataFrame, keys: list[str], series: dict[str, tuple[str, bool]], targets: list[int], start: int) -> DataFrame:
-    """One row per entity and target with the block of each series: prefix -> (value column, full).
+Series = dict[str, tuple[str, bool]]
 
-    Months without a row are zeros (conditional sums, no spine); months from start to t-1 are the history.
-    The short block has lags 1, 2, 3, 6 and means of 3 and 6 months; the full one adds median, population
-    deviation, maximum and minimum of 3 months, recency, counts, trend and growth.
-    """
-    spread = for_targets(cube, targets)
-    lag, aggs = F.col("t") - F.col("m"), []
+
+def series_base(cube: DataFrame, keys: list[str], series: Series, targets: list[int]) -> DataFrame:
+    """The sums from which a block of features is made, one row per entity and target: the last six months of each
+    series (prefix -> (value column, full)), and for a full one its last month with sales and their number.
+
+    Months without a row are zeros (conditional sums, no spine). What is joined later are these few columns; all
+    features come out of one projection at the end."""
+    aggs = []
     for prefix, (value, full) in series.items():
-        v = F.col(value).cast("double")
-        aggs += [F.coalesce(F.sum(F.when(lag == k, v)), F.lit(0.0)).alias(f"__{prefix}_{k}") for k in LAGS]
+        v = f"cast({value} as double)"
+        aggs += [f"coalesce(sum(case when t - m = {k} then {v} end), 0D) as {prefix}__{k}" for k in LAGS]
         if full:
-            aggs += [F.max(F.when(v > 0, F.col("m"))).alias(f"__{prefix}_last"), F.count_if(v > 0).alias(f"__{prefix}_n")]
-    base = spread.groupBy(*keys, "t").agg(*aggs)
-    out: dict[str, Column] = {}
-    for prefix, (_, full) in series.items():
-        a = {k: F.col(f"__{prefix}_{k}") for k in LAGS}
-        mean3 = (a[3] + a[2] + a[1]) / 3
-        out |= {f"{prefix}_lag{k}": a[k] for k in (1, 2, 3, 6)}
-        out |= {f"{prefix}_roll_mean_3": mean3, f"{prefix}_roll_mean_6": (a[6] + a[5] + a[4] + a[3] + a[2] + a[1]) / 6}
+            aggs += [f"max(case when {v} > 0 then m end) as {prefix}__last", f"count_if({v} > 0) as {prefix}__n"]
+    return for_targets(cube, targets).groupBy(*keys, "t").agg(*map(F.expr, aggs))
+
+
+def lag(prefix: str, k: int) -> str:
+    return f"coalesce({prefix}__{k}, 0D)"
+
+
+def mean3(prefix: str) -> str:
+    return f"(({lag(prefix, 3)} + {lag(prefix, 2)} + {lag(prefix, 1)}) / 3)"
+
+
+def series_columns(series: Series, start: int) -> dict[str, str]:
+    """The features of each series over its sums. The short block has lags 1, 2, 3, 6 and means of 3 and 6 months;
+    the full one adds median, population deviation, maximum and minimum of 3 months, recency, counts, trend and
+    growth. The history is the months from start to t-1; an entity without sums has zeros."""
+    out: dict[str, str] = {}
+    for p, (_, full) in series.items():
+        a, b, c = (lag(p, k) for k in (1, 2, 3))
+        m = mean3(p)
+        out |= {f"{p}_lag{k}": lag(p, k) for k in (1, 2, 3, 6)}
+        out |= {f"{p}_roll_mean_3": m, f"{p}_roll_mean_6": f"({lag(p, 6)} + {lag(p, 5)} + {lag(p, 4)} + {c} + {b} + {a}) / 6"}
         if full:
-            high, low = F.greatest(a[1], a[2], a[3]), F.least(a[1], a[2], a[3])
-            middle = F.greatest(F.least(a[1], a[2]), F.least(F.greatest(a[1], a[2]), a[3]))
-            spreads = (a[1] - mean3) * (a[1] - mean3) + (a[2] - mean3) * (a[2] - mean3) + (a[3] - mean3) * (a[3] - mean3)
-            months, n = (F.col("t") - F.lit(start)).cast("bigint"), F.col(f"__{prefix}_n")
+            months, n = f"cast(t - {start} as bigint)", f"coalesce({p}__n, 0L)"
             out |= {
-                f"{prefix}_roll_median_3": middle, f"{prefix}_roll_std_3": F.sqrt(spreads / 3), f"{prefix}_roll_max_3": high, f"{prefix}_roll_min_3": low,
-                f"{prefix}_months_since_last_sale": F.coalesce((F.col("t") - 1 - F.col(f"__{prefix}_last")).cast("bigint"), months),
-                f"{prefix}_number_of_sale_months": n, f"{prefix}_zero_sale_months": months - n, f"{prefix}_trend_3": a[1] - a[3],
-                f"{prefix}_growth_ratio": a[1] / (a[2] + 1), f"{prefix}_lag1_to_roll3": a[1] / (mean3 + 1),
+                f"{p}_roll_median_3": f"greatest(least({a}, {b}), least(greatest({a}, {b}), {c}))",
+                f"{p}_roll_std_3": "sqrt((" + " + ".join(f"({x} - {m}) * ({x} - {m})" for x in (a, b, c)) + ") / 3)",
+                f"{p}_roll_max_3": f"greatest({a}, {b}, {c})", f"{p}_roll_min_3": f"least({a}, {b}, {c})",
+                f"{p}_months_since_last_sale": f"coalesce(cast(t - 1 - {p}__last as bigint), {months})",
+                f"{p}_number_of_sale_months": n, f"{p}_zero_sale_months": f"{months} - {n}", f"{p}_trend_3": f"{a} - {c}",
+                f"{p}_growth_ratio": f"{a} / ({b} + 1)", f"{p}_lag1_to_roll3": f"{a} / ({m} + 1)",
             }
-    return base.select(*keys, "t", *(c.alias(n) for n, c in out.items()))
+    return out
 
 
-def weighted_recent(prefix: str) -> Column:
-    return F.col(f"{prefix}_lag1") * 0.5 + F.col(f"{prefix}_lag2") * 0.3 + F.col(f"{prefix}_lag3") * 0.2
+def series_features(cube: DataFrame, keys: list[str], series: Series, targets: list[int], start: int) -> DataFrame:
+    """One row per entity and target month with the features of its series."""
+    base = series_base(cube, keys, series, targets)
+    return base.selectExpr(*keys, "t", *(f"{e} as {n}" for n, e in series_columns(series, start).items()))
 
 
-def weighted_baseline() -> Column:
+def weighted_recent(prefix: str) -> str:
+    return f"({lag(prefix, 1)} * 0.5D + {lag(prefix, 2)} * 0.3D + {lag(prefix, 3)} * 0.2D)"
+
+
+def weighted_baseline() -> str:
     """Recent sales of the pair, or where there are none 0.7 of the item's per active location plus 0.3 of the
     location's per active item."""
-    item = weighted_recent("item_qty") / F.greatest(weighted_recent("item_active_locs"), F.lit(1.0))
-    place = weighted_recent("loc_qty") / F.greatest(weighted_recent("loc_active_items"), F.lit(1.0))
+    item = f"{weighted_recent('item_qty')} / greatest({weighted_recent('item_active_locs')}, 1D)"
+    place = f"{weighted_recent('loc_qty')} / greatest({weighted_recent('loc_active_items')}, 1D)"
     pair = weighted_recent("li_qty")
-    return F.greatest(F.when(pair > 0, pair).otherwise(item * 0.7 + place * 0.3), F.lit(0.0))
+    return f"greatest(case when {pair} > 0 then {pair} else {item} * 0.7D + {place} * 0.3D end, 0D)"
 
 
-def conversion_columns() -> dict[str, Column]:
-    c = F.col
+def conversion_columns() -> dict[str, str]:
+    view, cart, sold = "view_item", "add_to_cart", "item_qty"
     return {
-        "atc_to_view_lag1": c("add_to_cart_lag1") / (c("view_item_lag1") + 1), "purchase_to_atc_lag1": c("item_qty_lag1") / (c("add_to_cart_lag1") + 1),
-        "atc_to_view_roll3": c("add_to_cart_roll_mean_3") / (c("view_item_roll_mean_3") + 1), "purchase_to_atc_roll3": c("item_qty_roll_mean_3") / (c("add_to_cart_roll_mean_3") + 1),
+        "atc_to_view_lag1": f"{lag(cart, 1)} / ({lag(view, 1)} + 1)", "purchase_to_atc_lag1": f"{lag(sold, 1)} / ({lag(cart, 1)} + 1)",
+        "atc_to_view_roll3": f"{mean3(cart)} / ({mean3(view)} + 1)", "purchase_to_atc_roll3": f"{mean3(sold)} / ({mean3(cart)} + 1)",
     }
 
 
-def event_columns() -> dict[str, Column]:
+def event_columns() -> dict[str, str]:
     """The optional event block: aliases and ratios of the views and cart events of the item."""
-    c, out = F.col, {}
+    view, cart, sold, out = mean3("view_item"), mean3("add_to_cart"), mean3("item_qty"), {}
     for k in (1, 2, 3):
-        out |= {f"item_view_lag{k}": c(f"view_item_lag{k}"), f"item_atc_lag{k}": c(f"add_to_cart_lag{k}")}
-    view, cart, sold = c("view_item_roll_mean_3"), c("add_to_cart_roll_mean_3"), c("item_qty_roll_mean_3")
-    ratios = {"atc_per_view": cart / (view + 1), "purchase_per_view": sold / (view + 1), "purchase_per_atc": sold / (cart + 1)}
+        out |= {f"item_view_lag{k}": lag("view_item", k), f"item_atc_lag{k}": lag("add_to_cart", k)}
+    ratios = {"atc_per_view": f"{cart} / ({view} + 1)", "purchase_per_view": f"{sold} / ({view} + 1)", "purchase_per_atc": f"{sold} / ({cart} + 1)"}
     return out | {"item_view_roll3": view, "item_atc_roll3": cart} | {f"item_{n}": r for n, r in ratios.items()} | ratios
 
 
@@ -98,12 +117,11 @@ def new_year_rows(targets: list[int], config: EngineConfig = DEFAULTS) -> list[t
     return rows
 
 
-def with_new_year(frame: DataFrame, targets: list[int], config: EngineConfig = DEFAULTS) -> DataFrame:
-    """Adds the eleven columns of the lunar new year; frame has t and category_code."""
-    small = frame.sparkSession.createDataFrame(new_year_rows(targets, config), "t int, days_to_tet double, is_pre_tet_60d int, is_pre_tet_45d int, is_pre_tet_30d int, is_tet_month int, is_post_tet_30d int")
-    out = frame.join(F.broadcast(small), "t")  # a row per target
-    code = lambda n: F.when(F.col(f"is_pre_tet_{n}d") == 1, F.col("category_code") + 1).otherwise(0).alias(f"category_pre_tet_{n}d_code")
-    return out.select(*out.columns, (F.col("days_to_tet") / 7.0).alias("weeks_to_tet"), F.abs("days_to_tet").alias("abs_days_to_tet"), code(60), code(45), code(30))
+def new_year_columns() -> dict[str, str]:
+    """The eleven columns of the lunar new year over the joined constants and category_code."""
+    out = {n: n for n in ("days_to_tet", "is_pre_tet_60d", "is_pre_tet_45d", "is_pre_tet_30d", "is_tet_month", "is_post_tet_30d")}
+    out |= {"weeks_to_tet": "days_to_tet / 7D", "abs_days_to_tet": "abs(days_to_tet)"}
+    return out | {f"category_pre_tet_{n}d_code": f"case when is_pre_tet_{n}d = 1 then category_code + 1 else 0 end" for n in (60, 45, 30)}
 
 
 def with_status(cube: DataFrame, items: DataFrame) -> DataFrame:
@@ -122,38 +140,40 @@ def monthly_frame(cube: DataFrame, events: DataFrame, items: DataFrame, targets:
     """
     sold = with_status(cube, items)
     history = sold.where(F.col("m") < max(targets))
-    pair = for_targets(history, targets).groupBy("location", "item_id", "category", "brand", "t").agg(F.sum("qty").alias("__seen")).where(F.col("__seen") > 0).drop("__seen")
+    pairs = for_targets(history, targets).groupBy("location", "item_id", "category", "brand", "t").agg(F.sum("qty").alias("__seen")).where(F.col("__seen") > 0).drop("__seen")
     full, short = True, False
-    frame = pair.join(series_features(history, ["location", "item_id"], {"li_qty": ("qty", full), "li_rev": ("rev", short)}, targets, start), ["location", "item_id", "t"])
-    if "item" in blocks:
-        item = {"item_qty": ("qty", full), "item_rev": ("rev", short), "item_active_locs": ("active", short)}
-        frame = frame.join(series_features(grain_months(history, "item_id"), ["item_id"], item, targets, start), ["item_id", "t"], "left")
-    if "location" in blocks:
-        place = {"loc_qty": ("qty", full), "loc_rev": ("rev", short), "loc_active_items": ("active", short)}
-        frame = frame.join(series_features(grain_months(history, "location"), ["location"], place, targets, start), ["location", "t"], "left")
-    if "events" in blocks:
-        counts = events.groupBy("item_id", "m").agg(F.sum("view_count").alias("view_count"), F.sum("atc_count").alias("atc_count"))
-        seen = {"view_item": ("view_count", short), "add_to_cart": ("atc_count", short)}
-        frame = frame.join(series_features(counts, ["item_id"], seen, targets, start), ["item_id", "t"], "left")
-    for key, prefix in (("category", "cat_qty"), ("brand", "brand_qty")):
-        if key in blocks:
-            frame = frame.join(series_features(grain_months(history, key), [key], {prefix: ("qty", full)}, targets, start), [key, "t"], "left")
-    frame = frame.fillna(0.0, [c for c, k in frame.dtypes if k == "double"])
+    series: Series = {"li_qty": ("qty", full), "li_rev": ("rev", short)}
+    frame = pairs.join(series_base(history, ["location", "item_id"], series, targets), ["location", "item_id", "t"])
+    counts = events.groupBy("item_id", "m").agg(F.sum("view_count").alias("view_count"), F.sum("atc_count").alias("atc_count"))
+    parts = {
+        "item": ("item_id", None, {"item_qty": ("qty", full), "item_rev": ("rev", short), "item_active_locs": ("active", short)}),
+        "location": ("location", None, {"loc_qty": ("qty", full), "loc_rev": ("rev", short), "loc_active_items": ("active", short)}),
+        "events": ("item_id", counts, {"view_item": ("view_count", short), "add_to_cart": ("atc_count", short)}),
+        "category": ("category", None, {"cat_qty": ("qty", full)}),
+        "brand": ("brand", None, {"brand_qty": ("qty", full)}),
+    }
+    for block in blocks:
+        key, source, own = parts[block]
+        base = series_base(grain_months(history, key) if source is None else source, [key], own, targets)
+        frame, series = frame.join(base, [key, "t"], "left"), series | own
+    columns = {c: c for c in ("location", "item_id", "category", "brand", "t")} | {"target_month_idx": f"t - {start} + 1"}
     if codes:
         for key, code in (("location", "location_code"), ("item_id", "item_code"), ("category", "category_code"), ("brand", "brand_code")):
             frame = frame.join(dictionary_codes(sold.select(F.col(key)), key, code), key)
-    angle = (F.col("t") - 1) % 12 + 1
-    frame = frame.withColumns({"target_month_idx": F.col("t") - start + 1, "month_sin": F.round(F.sin(angle * (2 * math.pi / 12)), 6), "month_cos": F.round(F.cos(angle * (2 * math.pi / 12)), 6)})
+            columns[code] = code
+    turn = f"((t - 1) % 12 + 1) * {2 * math.pi / 12!r}D"
+    columns |= {"month_sin": f"sin({turn})", "month_cos": f"cos({turn})"} | series_columns(series, start)
     if {"item", "events"} <= {*blocks}:
-        frame = frame.withColumns(conversion_columns())
+        columns |= conversion_columns() | (event_columns() if config.event_features else {})
     if config.calendar_features:
-        frame = with_new_year(frame, targets, config)
-    if config.event_features and {"item", "events"} <= {*blocks}:
-        frame = frame.withColumns(event_columns())
-    frame = frame.withColumns({"baseline_lag1": F.col("li_qty_lag1"), "baseline_rolling3": F.col("li_qty_roll_mean_3")})
+        small = frame.sparkSession.createDataFrame(new_year_rows(targets, config), "t int, days_to_tet double, is_pre_tet_60d int, is_pre_tet_45d int, is_pre_tet_30d int, is_tet_month int, is_post_tet_30d int")
+        frame = frame.join(F.broadcast(small), "t")  # a row per target
+        columns |= new_year_columns()
+    columns |= {"baseline_lag1": lag("li_qty", 1), "baseline_rolling3": mean3("li_qty")}
     if {"item", "location"} <= {*blocks}:
-        frame = frame.withColumn("baseline_weighted", weighted_baseline())
+        columns["baseline_weighted"] = weighted_baseline()
     if label:
-        truth = sold.where(F.col("m").isin(targets)).select("location", "item_id", F.col("m").alias("t"), F.col("qty").cast("double").alias("target"), F.col("rev").cast("double").alias("target_revenue"))
-        frame = frame.join(truth, ["location", "item_id", "t"], "left").fillna(0.0, ["target", "target_revenue"])
-    return frame
+        truth = sold.where(F.col("m").isin(targets)).select("location", "item_id", F.col("m").alias("t"), F.col("qty").cast("double").alias("__y"), F.col("rev").cast("double").alias("__r"))
+        frame = frame.join(truth, ["location", "item_id", "t"], "left")
+        columns |= {"target": "coalesce(__y, 0D)", "target_revenue": "coalesce(__r, 0D)"}
+    return frame.selectExpr(*(f"{e} as `{n}`" for n, e in columns.items()))

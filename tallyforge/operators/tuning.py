@@ -14,7 +14,12 @@ KINDS = ("none", "pair", "item", "location", "min_item_location")
 
 
 def _literals(rows: list[dict]) -> Column:
-    return F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in r.items())) for r in rows))
+    """The candidates as one array literal."""
+
+    def text(v: int | float | str) -> str:
+        return f"{v!r}D" if isinstance(v, float) else repr(v)
+
+    return F.expr("array(" + ", ".join("named_struct(" + ", ".join(f"'{k}', {text(v)}" for k, v in r.items()) + ")" for r in rows) + ")")
 
 
 def grid_errors(rows: DataFrame, grid: list[dict], predict: Column, by: list[str] | None = None, y: str = "y_true") -> DataFrame:

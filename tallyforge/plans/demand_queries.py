@@ -33,7 +33,7 @@ def query(f):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*(F.round(c, digits).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))
+    return df.selectExpr(*(f"round(`{c}`, {digits}) as `{c}`" if k == "double" else f"`{c}`" for c, k in df.dtypes))
 
 
 def _past(spark: SparkSession, d: str) -> DataFrame:
