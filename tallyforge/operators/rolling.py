@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCKS_PER_TASK = 8
+BLOCKS_PER_TASK, MOST_TASKS = 8, 50_000
 KINDS = {"int": T.IntegerType(), "bigint": T.LongType(), "string": T.StringType()}
 
 
@@ -93,5 +93,6 @@ def rolling_totals(
 
     daily = daily_totals(df, keys, day, value).withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
     # rows grow about span-fold in a block's task, so its number of tasks follows the result, not the shuffle's bytes
-    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-blocks // BLOCKS_PER_TASK))
+    # (a task takes its blocks one after the other, so beyond MOST_TASKS they get more of them, at the same memory)
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-blocks // BLOCKS_PER_TASK)))
     return daily.select("block", *keys, "day", "total").repartition(tasks, "block").groupBy("block").applyInArrow(block, schema)

@@ -143,6 +143,25 @@ def scale_candidates(rows: DataFrame, blends: dict[str, Column], groups: dict[st
     return out.orderBy("mape_quantity", "mae_quantity", "scale")
 
 
+def prediction_variants(rows: DataFrame, prediction: str, best_scale: float, delta: float = 0.025) -> DataFrame:
+    """Output variants in one pass: location, item_id, variant, prediction for the raw one, the best scale and it less
+    and plus delta."""
+    scales = {"raw": 1.0, "best": best_scale, "best_minus": best_scale - delta, "best_plus": best_scale + delta}
+    each = F.explode(_literals([{"variant": n, "__scale": float(s)} for n, s in scales.items()]))
+    wide = rows.withColumn("__v", each)
+    return wide.select("location", "item_id", F.col("__v.variant").alias("variant"), F.greatest(F.col(prediction) * F.col("__v.__scale"), F.lit(0.0)).alias("prediction"))
+
+
+def compare_runs(rows: DataFrame, models: list[str], y: str = "y_true") -> DataFrame:
+    """Errors of several predictions by target group and over all ("all"), in one pass: model, target_group, n_pairs, mae, mape."""
+    from tallyforge.operators.scoring import long_predictions, mae, mape, target_group
+
+    long = long_predictions(rows.select("location", "item_id", y, *models), models)
+    groups = F.explode(F.array(target_group(F.col(y)), F.lit("all")))
+    p = F.col("prediction")
+    return long.withColumn("target_group", groups).groupBy("model", "target_group").agg(F.count(F.lit(1)).alias("n_pairs"), mae(F.col(y), p).alias("mae_quantity"), mape(F.col(y), p).alias("mape_quantity"))
+
+
 def rank_candidates(table: DataFrame) -> DataFrame:
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("mape_quantity").asc_nulls_last(), "mae_quantity", "ordinal")  # a row per candidate
     return table.withColumn("place", F.row_number().over(order))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyforge.config import DEFAULTS
 from tallyforge.operators import baselines as B
 from tallyforge.operators import cubes as C
+from tallyforge.operators import models as MO
 from tallyforge.operators import monthly as M
 from tallyforge.operators import postprocess as P
 from tallyforge.operators import quality as Q
@@ -17,6 +18,7 @@ from tallyforge.operators import scoring as E
 from tallyforge.operators import tuning as G
 from tallyforge.operators import windows as W
 from tallyforge.plans.demand_sql import SQL as SQL
+from tallyforge.sources import sinks as K
 from tallyforge.sources.tables import settled
 from tallyforge.sources.views import star_engagement, star_items, star_sales
 
@@ -490,3 +492,49 @@ def duplicate_keys(spark, d):
 @query
 def top_predictions(spark, d):
     return rounded(_baseline(spark, d)).orderBy(F.col("prediction").desc(), "location", "item_id").limit(10)
+
+
+@query
+def prediction_variants(spark, d):
+    return rounded(G.prediction_variants(_scored(spark, d), "pred_base", 0.9))
+
+
+@query
+def compare_runs(spark, d):
+    return rounded(G.compare_runs(_scored(spark, d), ["pred_raw", "pred_log", "pred_base"]), 4)
+
+
+@query
+def output_frame(spark, d):
+    return rounded(K.output_frame(_baseline(spark, d)))
+
+
+def _models(spark, d):
+    """Feature frames for training (two earlier targets) and scoring (the last), written once."""
+    frame = settled(_frame(spark, d, TARGETS, codes=False))
+    names = [n for n in MO.feature_names(frame) if n.startswith(("li_", "item_qty", "loc_qty", "baseline"))]
+    return frame.where(F.col("t") < TARGET), frame.where(F.col("t") == TARGET), names
+
+
+@query
+def gbt_raw(spark, d):
+    train, score, names = _models(spark, d)
+    return MO.predict(MO.fit_raw(train, names, trees=8), score, names)
+
+
+@query
+def gbt_log(spark, d):
+    train, score, names = _models(spark, d)
+    return MO.predict(MO.fit_raw(train, names, trees=8, log=True), score, names, log=True)
+
+
+@query
+def two_stage(spark, d):
+    train, score, names = _models(spark, d)
+    return MO.two_stage(train, score, names, trees=5)
+
+
+@query
+def feature_importance(spark, d):
+    train, _, names = _models(spark, d)
+    return MO.importance(spark, MO.fit_raw(train, names, trees=5), names)

@@ -308,4 +308,7 @@ select location, item_id, case when sale_status = 0 then 0 else round({REFILLED}
  union all select 'negative', count(*) filter (where prediction < 0) from bl union all select 'repeated_keys', count(*) - count(distinct (location, item_id)) from bl union all select 'status_zero_positive', count(*) from bl join items using (item_id) where sale_status = 0 and prediction > 0""",
     "duplicate_keys": f"with {VIEWS} select location, item_id, sale_date, count(*) as n_rows from sales group by 1, 2, 3 having count(*) > 1",
     "top_predictions": f"with {BASELINE} select location, item_id, round(prediction, 6) as prediction from bl order by 3 desc, location, item_id limit 10",
+    "prediction_variants": f"with {SCORED} select location, item_id, variant, round(greatest(pred_base * f, 0), 6) as prediction from sr, (values ('raw', 1.0::double), ('best', 0.9::double), ('best_minus', 0.9::double - 0.025::double), ('best_plus', 0.9::double + 0.025::double)) v(variant, f)",
+    "compare_runs": f"with {SCORED}, g as (select *, unnest([case when y <= 0 then 'y=0' when y <= 1 then '0<y<=1' when y <= 5 then '1<y<=5' else 'y>5' end, 'all']) as target_group from sr) " + " union all ".join(f"select '{m}' as model, target_group, count(*) as n_pairs, {mae(m)} as mae_quantity, {mape(m)} as mape_quantity from g group by 2" for m in ("pred_raw", "pred_log", "pred_base")),
+    "output_frame": f"with {BASELINE} select cast(location as bigint) as location, item_id, round(prediction, 6) as prediction from bl",
 }
