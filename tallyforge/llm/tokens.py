@@ -55,68 +55,73 @@ def joins(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(VISIBLE[data[:-1]] & SPACE[data[1:]]) + 1
 
 
-def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
-    """Where the chunks of each text start in data; text i is data[offsets[i]:offsets[i+1]].
-
-    A cut falls where the rolling hash has its low bits 0: the same content is cut alike in every document.
-    Such a cut may part a pre-token, so that encoding both sides would not give the ids of the whole. The join
-    is repaired by encoding on into the right side, up to the first place where agreement is certain (joins()):
-    the cut moves there. A text without such a place stays whole, however long it is.
+def chunk_cuts(data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """The cuts of each text, as (cut, seam start, seam end); text i is data[offsets[i]:offsets[i+1]].
+
+    A cut falls where the rolling hash has its low bits 0, wherever that is in a word: the same content is cut alike
+    in every document. It may part a pre-token, so the ids of both sides need not be those of the whole. Its seam
+    reaches from the cut outwards to the first places on both sides where agreement is certain (joins()); an empty
+    seam is a cut at such a place. A cut whose seam would reach another seam or an end of the text is not made,
+    so a text without such places stays whole, however long it is.
     """
-    if len(data) > LEAST:
-        hits = np.flatnonzero((rolling_hash(data) & np.uint32(MASK)) == 0) + 1
-        safe = joins(data)
-        at = np.searchsorted(safe, hits)
-        cuts = np.unique(safe[at[at < len(safe)]])
-    else:
-        cuts = np.zeros(0, np.int64)
-    low, high = np.searchsorted(cuts, offsets[:-1] + LEAST), np.searchsorted(cuts, offsets[1:])
-    out = []
-    for i, start in enumerate(offsets[:-1].tolist()):
-        starts = [start]
-        for cut in cuts[low[i] : high[i]].tolist():
-            if cut - starts[-1] >= LEAST:
-                starts.append(cut)
-        out.append(starts)
+    out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(offsets) - 1)]
+    if len(data) <= LEAST:
+        return out
+    hits = np.flatnonzero((rolling_hash(data)[:-1] & np.uint32(MASK)) == 0) + 1
+    hits = hits[(data[hits] & 0xC0) != 0x80]  # not inside a character
+    safe = joins(data)
+    at = np.searchsorted(safe, hits)
+    inside = (at > 0) & (at < len(safe))
+    hits, at = hits[inside], at[inside]
+    after, before = safe[at], safe[at - 1]
+    before = np.where(after == hits, hits, before)
+    low, high = np.searchsorted(hits, offsets[:-1] + LEAST), np.searchsorted(hits, offsets[1:])
+    for i in np.flatnonzero(high > low).tolist():
+        start = seam = int(offsets[i])
+        end = int(offsets[i + 1])
+        for cut, a, b in zip(hits[low[i] : high[i]].tolist(), before[low[i] : high[i]].tolist(), after[low[i] : high[i]].tolist()):
+            if cut - start >= LEAST and a >= seam and a > start and b < end:
+                out[i].append((cut, a, b))
+                start, seam = cut, b
     return out
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of chunks: row (a number of the document's row), doc_id (at its first chunk), pos, last, key, place and, at the
-    first of each key and place in a task, the chunk's bytes."""
-    part, row, seen = TaskContext.get().partitionId(), 0, {}
+def _split(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str) -> Iterator[pa.RecordBatch]:
+    """Rows of chunks: row (a number of the document's row), doc_id, pos, key, place and, at the first of each key and
+    place in a task, the chunk's bytes. The join after a chunk is repaired here: seam has the ids of its text encoded
+    anew, drop_last and drop_first say how many ids of the chunks on either side they replace."""
+    part, row, seen, tokenizer = TaskContext.get().partitionId(), 0, {}, encoder(folder, vocabulary)
+    kind = np.uint16 if tokenizer.max_token_value < 1 << 16 else np.int32
     for batch in batches:
-        texts = batch.column("text")
-        texts = pa.array(texts.fill_null("").cast(pa.large_string()), pa.large_string()) if texts.type != pa.large_string() else texts.fill_null("")
-        texts = pa.concat_arrays([texts])
+        texts = pa.concat_arrays([batch.column("text").fill_null("").cast(pa.large_string())])
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         whole = texts.buffers()[2]
         data = np.frombuffer(whole, np.uint8) if whole is not None and whole.size else np.zeros(0, np.uint8)
         base = int(offsets[0]) if len(offsets) else 0
         data, offsets = data[base : int(offsets[-1])], offsets - base
         raw = data.tobytes()
-        rows, ids, poss, lasts, keys, places, chunks = [], [], [], [], [], [], []
-        ends = offsets[1:].tolist()
-        for i, starts in enumerate(chunk_starts(data, offsets)):
-            doc = batch.column("doc_id")[i].as_py()
-            for pos, (a, b) in enumerate(zip(starts, [*starts[1:], ends[i]])):
-                chunk = raw[a:b]
+        coded = lambda a, b: tokenizer.encode_ordinary(raw[a:b].decode()) if b > a else []  # noqa: B023, E731
+        columns: list[list] = [[] for _ in range(9)]
+        bounds = offsets.tolist()
+        for i, cuts in enumerate(chunk_cuts(data, offsets)):
+            doc, start, first = batch.column("doc_id")[i].as_py(), bounds[i], 0
+            for pos, (cut, a, b) in enumerate([*cuts, (bounds[i + 1],) * 3]):
+                chunk = raw[start:cut]
                 key = xxhash.xxh3_128_digest(chunk)
                 n = seen.get(key, 0)
                 if not n and len(seen) >= REMEMBERED:
                     seen.clear()
                 seen[key] = n + 1
-                rows.append((part << 36) + row)
-                ids.append(doc)
-                poss.append(pos)
-                keys.append(key)
-                places.append(0 if n < TOGETHER else (part * 1_000_003 + n // TOGETHER) & 0x7FFFFFFF)
-                chunks.append(chunk if n % TOGETHER == 0 else None)
+                place = 0 if n < TOGETHER else (part * 1_000_003 + n // TOGETHER) & 0x7FFFFFFF
+                last = len(coded(a, cut))
+                seam = np.array(coded(a, b), kind).tobytes() if b > a else None
+                for c, v in zip(columns, ((part << 36) + row, doc, pos, key, place, chunk if n % TOGETHER == 0 else None, first, last, seam)):
+                    c.append(v)
+                start, first = cut, len(coded(cut, b))
             row += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(poss, pa.int32()), pa.array(keys, pa.binary()), pa.array(places, pa.int32()), pa.array([c is None for c in chunks], pa.bool_()), pa.array(chunks, pa.binary())],
-            names=["row", "doc_id", "pos", "key", "place", "again", "chunk"],
-        )
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+        yield pa.RecordBatch.from_arrays([*arrays, arrays[5].is_null()], names=["row", "doc_id", "pos", "key", "place", "chunk", "drop_first", "drop_last", "seam", "again"])
 
 
 def _encode(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str) -> Iterator[pa.RecordBatch]:
@@ -131,22 +136,23 @@ def _encode(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str) ->
             if (key, place) != at:
                 at, ids = (key, place), np.array(tokenizer.encode_ordinary(chunk.decode()), kind).tobytes()
             out.append(ids)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("pos"), pa.array(out, pa.binary())], names=["row", "doc_id", "pos", "ids"])
+        kept = ["row", "doc_id", "pos", "drop_first", "drop_last", "seam"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.binary())], names=[*kept, "ids"])
 
 
 def _assemble(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
-    """Sorted by row and pos: the ids of each row one after the other are the ids of its document."""
-    open_row, open_doc, held = None, None, []
+    """Sorted by row and pos: the ids of each row's chunks, with the seams between them, are the ids of its document."""
+    open_row, open_doc, held, width = None, None, [], np.dtype(kind).itemsize
 
     def built(docs: list, lists: list[bytes]) -> pa.RecordBatch:
-        lengths = np.array([0, *map(len, lists)], np.int64) // np.dtype(kind).itemsize
+        lengths = np.array([0, *map(len, lists)], np.int64) // width
         values = np.frombuffer(b"".join(lists), kind).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths).astype(np.int32)), pa.array(values))
         return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), ids], names=["doc_id", "ids"])
 
     for batch in batches:
         docs, lists, size = [], [], 0
-        for row, doc, ids in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "ids"))):
+        for row, doc, first, last, seam, ids in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "drop_first", "drop_last", "seam", "ids"))):
             if row != open_row:
                 if open_row is not None:
                     docs.append(open_doc)
@@ -156,7 +162,9 @@ def _assemble(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.Recor
                         yield built(docs, lists)
                         docs, lists, size = [], [], 0
                 open_row, open_doc, held = row, doc, []
-            held.append(ids)
+            held.append(ids[first * width : len(ids) - last * width] if first or last else ids)
+            if seam:
+                held.append(seam)
         if docs:
             yield built(docs, lists)
     if open_row is not None:
@@ -167,16 +175,19 @@ def encode_corpus(documents: DataFrame, folder: str = FOLDER, vocabulary: str =
     """doc_id and ids of every row of documents (columns doc_id bigint, text string), without special tokens.
 
     Texts are cut into content-defined chunks; a chunk's text crosses the shuffle once per task that has it, is
-    encoded once for all documents, and its ids go back to them. A chunk that a task meets often goes to
-    further places after each TOGETHER occurrences, with its text, so that no task gets all copies of a hot one.
+    encoded once for all documents, and its ids go back to them. Each join is repaired: the text around it is encoded
+    anew, as far as both sides certainly agree with the whole, and its ids replace those of the two chunks there.
+    A chunk that a task meets often goes to further places after each TOGETHER occurrences, with its text, so that
+    no task gets all copies of a hot one. Rows are told apart by their place in the input's partitions, so documents
+    should come from files or a settled table, which a redone task reads in the same order.
 
     Empty and null texts give an empty list; repeated rows, equal and null doc_ids give a row each; an empty
     table gives no rows. Text columns of any length are encoded whole.
     """
     kind = "uint16" if encoder(folder, vocabulary).max_token_value < 1 << 16 else "int32"
-    pieces = documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_split, "row bigint, doc_id bigint, pos int, key binary, place int, again boolean, chunk binary")
+    pieces = documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lambda b: _split(b, folder, vocabulary), "row bigint, doc_id bigint, pos int, key binary, place int, chunk binary, drop_first int, drop_last int, seam binary, again boolean")
     grouped = pieces.repartition("key", "place").sortWithinPartitions("key", "place", "again")
-    encoded = grouped.mapInArrow(lambda b: _encode(b, folder, vocabulary), "row bigint, doc_id bigint, pos int, ids binary")
+    encoded = grouped.mapInArrow(lambda b: _encode(b, folder, vocabulary), "row bigint, doc_id bigint, pos int, drop_first int, drop_last int, seam binary, ids binary")
     together = encoded.repartition("row").sortWithinPartitions("row", "pos")
     return together.mapInArrow(lambda b: _assemble(b, kind), "doc_id bigint, ids array<int>")
 

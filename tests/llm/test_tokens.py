@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -26,10 +27,53 @@ def test_encode_equals_whole_texts(spark):
     assert ids(spark, rows) == sorted(((d, brute(t)) for d, t in rows), key=repr)
 
 
-def test_hot_text_many_copies(spark, monkeypatch):
-    monkeypatch.setattr(K, "TOGETHER", 4)
-    rows = [(i, LONG[:3000] if i % 3 == 0 else f"text {i}") for i in range(300)]
-    assert ids(spark, rows) == sorted(((d, brute(t)) for d, t in rows), key=repr)
+def test_hot_text_many_copies(spark):
+    rows = [(i, LONG[:3000] if i % 3 == 0 else f"text {i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)  # one task meets 300 copies
+    assert sorted((r.doc_id, list(r.ids)) for r in K.encode_corpus(df).collect()) == sorted((d, brute(t)) for d, t in rows)
+
+
+class Part:
+    @staticmethod
+    def get():
+        return Part
+
+    @staticmethod
+    def partitionId():
+        return 3
+
+
+def in_process(texts):
+    """The three steps without Spark, so that their constants can be small."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    pieces = pa.Table.from_batches(K._split(iter([batch.slice(0, 1), batch.slice(1)]), K.FOLDER, K.VOCABULARY))
+    grouped = pieces.sort_by([("key", "ascending"), ("place", "ascending"), ("again", "ascending")])
+    encoded = pa.Table.from_batches(K._encode(iter(grouped.to_batches(max_chunksize=7)), K.FOLDER, K.VOCABULARY))
+    ordered = encoded.sort_by([("row", "ascending"), ("pos", "ascending")])
+    out = pa.Table.from_batches(K._assemble(iter(ordered.to_batches(max_chunksize=5)), "uint16"))
+    return dict(zip(out.column("doc_id").to_pylist(), out.column("ids").to_pylist())), len(pieces)
+
+
+WORD = st.sampled_from(["lantern", " can't", " it's", "\n", "\r\n", " ", "  ", "12", ":", "½", "日本語", " đèn", ".", "!?", "🎵", " "])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(WORD, max_size=60).map("".join), min_size=1, max_size=6))
+def test_small_chunks_are_exact(texts):
+    with pytest.MonkeyPatch.context() as m:
+        for name, value in (("LEAST", 6), ("MASK", 3), ("TOGETHER", 2), ("REMEMBERED", 9), ("TaskContext", Part)):
+            m.setattr(K, name, value)
+        texts = [*texts, "".join(texts), texts[0] * 5, None, ""]
+        got, pieces = in_process(texts)
+        assert got == {i: brute(t) for i, t in enumerate(texts)}
+
+
+def test_small_chunks_have_seams(monkeypatch):
+    for name, value in (("LEAST", 20), ("MASK", 7), ("TOGETHER", 2), ("TaskContext", Part)):
+        monkeypatch.setattr(K, name, value)
+    texts = [LONG[:9000], LONG[:9000], LONG[300:9000]]
+    got, pieces = in_process(texts)
+    assert got == {i: brute(t) for i, t in enumerate(texts)} and pieces > 300
 
 
 def test_other_vocabulary_and_empty(spark):
@@ -43,10 +87,22 @@ def test_counts(spark):
     assert {r.doc_id: r.n_tokens for r in K.token_counts(df, ["doc_id", "source"]).collect()} == {i: len(brute(t)) for i, t in enumerate(TEXTS)}
 
 
-def chunks(text):
+def cuts(text):
     data = np.frombuffer(text.encode(), np.uint8)
-    starts = K.chunk_starts(data, np.array([0, len(data)], np.int64))[0]
-    return [data[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(data)])]
+    return data.tobytes(), K.chunk_cuts(data, np.array([0, len(data)], np.int64))[0]
+
+
+def chunks(text):
+    raw, found = cuts(text)
+    at = [0, *(c for c, _, _ in found), len(raw)]
+    return [raw[a:b] for a, b in zip(at, at[1:])]
+
+
+def test_seams_reach_certain_places():
+    raw, found = cuts(LONG)
+    safe = set(K.joins(np.frombuffer(raw, np.uint8)).tolist())
+    assert any(a < c < b for c, a, b in found) and all({a, b} <= safe and a <= c <= b for c, a, b in found)
+    assert all(b0 <= a1 for (_, _, b0), (_, a1, _) in zip(found, found[1:]))
 
 
 PIECE = st.sampled_from(["a", "'s", "it's ", " don't", "12", "½", "\n", "\r\n", " ", "  ", "\t", "。", "日本", "é", " ", "　", "!", "...", "-->", "\x85", "🎵", "﻿", "ß", "x\n\ny"])
