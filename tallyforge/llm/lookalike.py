@@ -115,26 +115,42 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     return read.mapInArrow(convert, "doc_id bigint, form_key binary, text_key binary")
 
 
+#: Parts into which the rows of any one spelling are spread where they are looked up, and documents of a spelling for each part
+#: of a pair's side.
+SPREAD, PER_PART, MOST_PARTS = 16, 10_000, 4096
+
+
 def lookalike_classes(prints: DataFrame) -> DataFrame:
-    """doc_id, form_key, text_key of documents whose skeleton occurs in at least two stored spellings. Spellings
-    are combined before the shuffle, so copies of one text don't pile up."""
+    """doc_id, form_key, text_key of documents whose skeleton occurs in at least two stored spellings, with parts, which
+    follows the number of documents of the spelling.
+
+    Spellings are combined before the shuffle, so copies of one text don't pile up. To find their members, the documents of
+    each spelling are spread over SPREAD parts and the list of spellings, which is short, is repeated for each."""
     spellings = prints.groupBy("form_key", "text_key").agg(F.count(F.lit(1)).alias("n"))
     several = spellings.groupBy("form_key").agg(F.count(F.lit(1)).alias("spellings")).where(F.col("spellings") > 1)
-    return prints.join(several, "form_key", "left_semi")
+    parts = F.least(F.ceil(F.col("n") / PER_PART), F.lit(MOST_PARTS)).cast("int")
+    listed = spellings.join(several, "form_key", "left_semi").select("form_key", "text_key", parts.alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("slot"))
+    spread = prints.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int"))
+    return spread.join(listed, ["form_key", "text_key", "slot"]).drop("slot")
 
 
 def lookalike_pairs(documents: DataFrame) -> DataFrame:
     """doc_id_a < doc_id_b: all pairs of documents that look the same and differ as stored.
 
     Pairs are first made of spellings (rows per spelling, not per document), then each side is joined with its
-    documents: work is as large as the result, and copies of one text are never paired with one another.
+    documents: work is as large as the result, and copies of one text are never paired with one another. A spelling
+    of many documents is joined in parts of about PER_PART, so no task gets them all.
     Null texts and texts without anything visible have no pairs; a null doc_id has none; empty tables give no rows.
     """
     members = settled(lookalike_classes(settled(fingerprints(documents.where(F.col("doc_id").isNotNull())))))
-    spellings = members.select("form_key", "text_key").distinct()
-    left, right = spellings.withColumnRenamed("text_key", "key_a"), spellings.withColumnRenamed("text_key", "key_b")
+    spellings = members.groupBy("form_key", "text_key").agg(F.max("parts").alias("parts"))
+    left = spellings.select("form_key", F.col("text_key").alias("key_a"), F.col("parts").alias("parts_a"))
+    right = spellings.select("form_key", F.col("text_key").alias("key_b"), F.col("parts").alias("parts_b"))
     pairs = left.join(right, "form_key").where(F.col("key_a") < F.col("key_b"))
-    a = members.select("form_key", F.col("text_key").alias("key_a"), F.col("doc_id").alias("a"))
-    b = members.select("form_key", F.col("text_key").alias("key_b"), F.col("doc_id").alias("b"))
-    both = pairs.join(a, ["form_key", "key_a"]).join(b, ["form_key", "key_b"])
+    part = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.col("parts")).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    a = members.select("form_key", F.col("text_key").alias("key_a"), part.alias("part_a"), F.col("doc_id").alias("a"))
+    b = members.select("form_key", F.col("text_key").alias("key_b"), part.alias("part_b"), F.col("doc_id").alias("b"))
+    one = pairs.withColumn("part_a", every("parts_a")).join(a, ["form_key", "key_a", "part_a"])
+    both = one.withColumn("part_b", every("parts_b")).join(b, ["form_key", "key_b", "part_b"])
     return both.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"))

@@ -50,6 +50,13 @@ def test_pairs_equal_brute_force(spark, seed):
     assert got == want and (1001, 1002) in got
 
 
+def test_large_spelling_is_joined_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(L, "PER_PART", 20)
+    rows = [(i, "one text of many copies") for i in range(500)] + [(1000, "one text of many cоpies"), (1001, "one\u00a0text of many copies"), (1002, "other")]
+    got = {tuple(r) for r in L.lookalike_pairs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(i, v) for i in range(500) for v in (1000, 1001)} | {(1000, 1001)}
+
+
 def test_forms_and_empty(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "Ｈi")], "doc_id bigint, text string")
     assert {tuple(r) for r in L.normalised(df, ["doc_id"]).collect()} == {(1, None), (2, ""), (3, "Hi")}
