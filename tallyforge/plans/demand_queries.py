@@ -25,6 +25,8 @@ from tallyforge.sources.views import star_engagement, star_items, star_sales
 CUTOFF = datetime.date(1998, 11, 30)
 START, TARGET = 1998 * 12 + 1, 1998 * 12 + 12
 TARGETS = [TARGET - 2, TARGET - 1, TARGET]
+#: The months with three months of history, the last one included.
+ALL_TARGETS = list(range(START + 3, TARGET + 1))
 PAIR = ["location", "item_id"]
 QUERIES = {}
 
@@ -510,31 +512,30 @@ def output_frame(spark, d):
 
 
 def _models(spark, d):
-    """Feature frames for training (two earlier targets) and scoring (the last), written once."""
-    frame = settled(_frame(spark, d, TARGETS, codes=False))
-    names = [n for n in MO.feature_names(frame) if n.startswith(("li_", "item_qty", "loc_qty", "baseline"))]
-    return frame.where(F.col("t") < TARGET), frame.where(F.col("t") == TARGET), names
+    """Feature frames for training (all earlier targets) and scoring (the last), written once, and all their features."""
+    frame = settled(_frame(spark, d, ALL_TARGETS))
+    return frame.where(F.col("t") < TARGET), frame.where(F.col("t") == TARGET), MO.feature_names(frame)
 
 
 @query
 def gbt_raw(spark, d):
     train, score, names = _models(spark, d)
-    return MO.predict(MO.fit_raw(train, names, trees=8), score, names)
+    return MO.predict(MO.fit_raw(train, names), score, names)
 
 
 @query
 def gbt_log(spark, d):
     train, score, names = _models(spark, d)
-    return MO.predict(MO.fit_raw(train, names, trees=8, log=True), score, names, log=True)
+    return MO.predict(MO.fit_raw(train, names, log=True), score, names, log=True)
 
 
 @query
 def two_stage(spark, d):
     train, score, names = _models(spark, d)
-    return MO.two_stage(train, score, names, trees=5)
+    return MO.two_stage(train, score, names)
 
 
 @query
 def feature_importance(spark, d):
     train, _, names = _models(spark, d)
-    return MO.importance(spark, MO.fit_raw(train, names, trees=5), names)
+    return MO.importance(spark, MO.fit_raw(train, names), names)
