@@ -24,6 +24,7 @@ from tallyforge.sources.views import star_engagement, star_items, star_sales
 
 CUTOFF = datetime.date(1998, 11, 30)
 START, TARGET = 1998 * 12 + 1, 1998 * 12 + 12
+#: The short list of the queries whose SQL has it; each has a query *_all_months over ALL_TARGETS.
 TARGETS = [TARGET - 2, TARGET - 1, TARGET]
 #: The months with three months of history, the last one included.
 ALL_TARGETS = list(range(START + 3, TARGET + 1))
@@ -289,6 +290,11 @@ def training_frames_multi_target(spark, d):
     return rounded(_frame(spark, d, TARGETS, codes=False))
 
 
+@query
+def training_frames_all_months(spark, d):
+    return rounded(_frame(spark, d, ALL_TARGETS, codes=False))
+
+
 def _truth(spark, d):
     truth = W.month_label(star_sales(spark, d), 1998, 12, PAIR).where(F.col("sales_next_month") > 0)
     return truth.select(*PAIR, F.col("sales_next_month").cast("double").alias("sales"), F.col("revenue_next_month").alias("revenue"))
@@ -434,35 +440,42 @@ def classic_postprocess(spark, d):
     return rounded(B.zero_where_status(out, star_items(spark, d)))
 
 
-def _training(spark, d):
-    return settled(_frame(spark, d, TARGETS, codes=False, blocks=()).select(*PAIR, "t", "target", "li_qty_lag1", "li_qty_roll_mean_3"))
+def _training(spark, d, targets):
+    return settled(_frame(spark, d, targets, codes=False, blocks=()).select(*PAIR, "t", "target", "li_qty_lag1", "li_qty_roll_mean_3"))
 
 
 @query
 def sample_positive_first(spark, d):
-    return S.positive_first(_training(spark, d), 3000, [*PAIR, "t"])
+    return S.positive_first(_training(spark, d, ALL_TARGETS), 3000, [*PAIR, "t"])
 
 
 @query
 def sample_negative_ratio(spark, d):
-    return S.negative_ratio(_training(spark, d), 0.5, [*PAIR, "t"])
+    return S.negative_ratio(_training(spark, d, ALL_TARGETS), 0.5, [*PAIR, "t"])
 
 
-@query
-def sample_counts(spark, d):
-    rows = S.negative_ratio(_training(spark, d), 0.5, [*PAIR, "t"])
+def _month_queries(f):
+    """f over the short list of months, and as *_all_months over all."""
+    for name, targets in ((f.__name__, TARGETS), (f"{f.__name__}_all_months", ALL_TARGETS)):
+        QUERIES[name] = lambda spark, d, targets=targets: f(spark, d, targets)
+    return f
+
+
+@_month_queries
+def sample_counts(spark, d, targets):
+    rows = S.negative_ratio(_training(spark, d, targets), 0.5, [*PAIR, "t"])
     return rows.agg(F.count_if(F.col("target") > 0).alias("positives"), F.count_if(F.col("target") <= 0).alias("zeros"))
 
 
-@query
-def sample_weights(spark, d):
+@_month_queries
+def sample_weights(spark, d, targets):
     y = F.col("target")
-    return rounded(_training(spark, d).select(*PAIR, "t", S.row_weight(y, "inv_y", 0.3).alias("inv_y"), S.row_weight(y, "inv_sqrt_y", 0.3).alias("inv_sqrt_y")))
+    return rounded(_training(spark, d, targets).select(*PAIR, "t", S.row_weight(y, "inv_y", 0.3).alias("inv_y"), S.row_weight(y, "inv_sqrt_y", 0.3).alias("inv_sqrt_y")))
 
 
-@query
-def sampling_diagnostic(spark, d):
-    return rounded(S.diagnostic(_training(spark, d)))
+@_month_queries
+def sampling_diagnostic(spark, d, targets):
+    return rounded(S.diagnostic(_training(spark, d, targets)))
 
 
 @query

@@ -1,9 +1,11 @@
 """Queries do the whole job: all months, all features, the operators' own sizes."""
 
+import pytest
+from test_entry import FOLDER, duck, plain, same  # noqa: F401
+
 from tallyforge.operators import models as MO
 from tallyforge.plans import demand_queries as Q
-
-FOLDER = "/root/testdata/sf0.001"
+from tallyforge.plans import demand_sql as SQL
 
 
 def test_models_train_on_all_months_and_features(spark):
@@ -21,3 +23,24 @@ def test_models_have_the_default_trees(spark, monkeypatch):
     for name in ("gbt_raw", "gbt_log", "two_stage", "feature_importance"):
         Q.QUERIES[name](spark, FOLDER)
     assert seen == [20, 20, 10, 10, 20]
+
+
+@pytest.mark.parametrize("name,short", [("training_frames_all_months", "training_frames_multi_target"), *((f"{n}_all_months", n) for n in ("sample_counts", "sample_weights", "sampling_diagnostic"))])
+def test_all_months(spark, duck, name, short):  # noqa: F811
+    months = list(range(Q.START + 3, Q.TARGET + 1))
+    df = Q.QUERIES[name](spark, FOLDER)
+    columns = sorted(df.columns)
+    sql = SQL.SQL[short].replace(SQL.MULTI, f"{SQL.CUBE}, {SQL.frame(months)}")
+    assert sql != SQL.SQL[short]
+    result = duck.execute(sql)
+    names = [x[0] for x in result.description]
+    want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall()), key=repr)
+    rows = sorted((tuple(map(plain, r)) for r in df.select(*columns).collect()), key=repr)
+    assert sorted(names) == columns and len(rows) == len(want)
+    assert all(same(x, y) for r, s in zip(rows, want) for x, y in zip(r, s))
+
+
+def test_samples_take_all_months(spark):
+    months = set(range(Q.START + 3, Q.TARGET + 1))
+    for name in ("sample_positive_first", "sample_negative_ratio"):
+        assert {r.t for r in Q.QUERIES[name](spark, FOLDER).select("t").distinct().collect()} == months
