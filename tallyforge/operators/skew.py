@@ -36,12 +36,12 @@ def salted_aggregate(
 ) -> DataFrame:
     """One row per key with the named aggregates: name -> (count | sum | min | max | avg | count_distinct, column).
 
-    Rows of heavy keys get a salt (a hash of the row: random in effect, equal when a lost task is redone),
-    partial results are made per key and salt, then merged per key. Distinct counts first reduce to distinct
+    Rows of heavy keys get a salt (a hash of all columns of df: random in effect, equal when a lost task is redone;
+    equal rows part only if df has a column like with_position's), partial results are made per key and salt, then merged per key. Distinct counts first reduce to distinct
     (key, value), which no key can pile up, then count per salt and add.
 
     Null keys form a key of their own; nulls in a value are left out, as in SQL; count with column "*"
-    counts rows; an empty table gives no rows. Repeated rows count each time. Other columns of df are ignored.
+    counts rows; an empty table gives no rows. Repeated rows count each time. Other columns of df only feed the salt.
     """
     columns = list(dict.fromkeys(c for _, c in aggregates.values() if c != "*"))
     data = df.select(*keys, *(c for c in columns if c not in keys))
@@ -53,7 +53,7 @@ def salted_aggregate(
     first = [getattr(F, PARTIAL[k])(F.lit(1) if c == "*" else F.col(c)).alias(n) for n, (k, c) in parts.items()]
     second = [getattr(F, MERGE[k])(n).alias(n) for n, (k, _) in parts.items()]
     if first:
-        once = salted(data, keys, total, heavy_share, salts).groupBy(*keys, "__salt").agg(*first)
+        once = salted(df.select(*data.columns, row_hash(df, 71).alias("__row")), keys, total, heavy_share, salts).groupBy(*keys, "__salt").agg(*first)
         merged = once.groupBy(*keys).agg(*second)
     else:
         merged = data.select(*keys).distinct()

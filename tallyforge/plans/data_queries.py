@@ -8,7 +8,7 @@ from tallyforge.operators.feature_table import EPOCH, MOST_TYPES, feature_table
 from tallyforge.operators.orphans import orphan_counts, orphan_report, parent_timeline
 from tallyforge.operators.rolling import rolling_totals
 from tallyforge.operators.skew import salted_aggregate
-from tallyforge.sources.tables import table
+from tallyforge.sources.tables import table, with_position
 
 
 def _features(spark: SparkSession, d: str, form: str) -> DataFrame:
@@ -30,9 +30,9 @@ def p1_cells(spark: SparkSession, d: str) -> DataFrame:
     return _features(spark, d, "long")
 
 
-def _sales(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "transaction_full_2025")
-    return rows.select(V.valid_location(F.col("location")).alias("location"), V.item_key(F.col("item_id")).alias("item_id"), "updated_date", "quantity", "price", "customer_id")
+def _sales(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    rows = with_position(table(spark, d, "transaction_full_2025"))
+    return rows.select(*more, V.valid_location(F.col("location")).alias("location"), V.item_key(F.col("item_id")).alias("item_id"), "updated_date", "quantity", "price", "customer_id")
 
 
 def p3_rolling(spark: SparkSession, d: str) -> DataFrame:
@@ -68,19 +68,19 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Problem 5: ids and valid locations that hold at least 3 % of all rows, from the salted per-key counts."""
-    rows = table(spark, d, "transaction_full_2025")
+    rows = with_position(table(spark, d, "transaction_full_2025"))
     total = rows.count()
     both = F.explode(F.array(
         F.struct(F.lit("item_id").alias("field"), V.item_key(F.col("item_id")).alias("key_value")),
         F.struct(F.lit("location").alias("field"), V.valid_location(F.col("location")).cast("string").alias("key_value")),
     ))
-    keyed = rows.select(both.alias("k")).select("k.*").where(F.col("key_value").isNotNull())
+    keyed = rows.select(both.alias("k"), "__position").select("k.*", "__position").where(F.col("key_value").isNotNull())
     counts = salted_aggregate(keyed, ["field", "key_value"], {"n": ("count", "*")}, total_rows=total)
     return counts.where(F.col("n") * 100 >= 3 * total).select("field", "key_value")
 
 
 def _per_key(spark: SparkSession, d: str, key: str) -> DataFrame:
-    sales = _sales(spark, d).withColumn("amount", V.amount(F.col("price")))
+    sales = _sales(spark, d, "__position").withColumn("amount", V.amount(F.col("price")))
     revenue = F.col("amount").cast("decimal(38,0)") * F.col("quantity")
     sales = sales.withColumn("revenue", revenue.cast("decimal(38,0)")).where(F.col(key).isNotNull())
     what = {"n_rows": ("count", "*"), "quantity": ("sum", "quantity"), "revenue": ("sum", "revenue"), "low_price": ("min", "amount"), "high_price": ("max", "amount"), "customers": ("count_distinct", "customer_id"), "mean_quantity": ("avg", "quantity")}

@@ -48,3 +48,9 @@ def row_hash(df: DataFrame, seed: int = 0) -> "F.Column":
     kinds = dict(df.dtypes)
     usable = [F.col(f"`{c}`") for c in df.columns if not kinds[c].startswith("map")]
     return F.xxhash64(F.lit(seed), *usable)
+
+
+def with_position(df: DataFrame, name: str = "__position") -> DataFrame:
+    """A table read from files with a hash of each row's file and place in it: differs between equal rows, and comes
+    out the same if a task is redone, however the files are split."""
+    return df.withColumn(name, F.xxhash64("_metadata.file_name", "_metadata.row_index"))

@@ -1,9 +1,12 @@
 """Queries do the whole job: all months, all features, the operators' own sizes."""
 
 import pytest
+from pyspark.sql import functions as F
 from test_entry import FOLDER, duck, plain, same  # noqa: F401
 
 from tallyforge.operators import models as MO
+from tallyforge.operators import skew
+from tallyforge.plans import data_queries as DQ
 from tallyforge.plans import demand_queries as Q
 from tallyforge.plans import demand_sql as SQL
 
@@ -44,3 +47,19 @@ def test_samples_take_all_months(spark):
     months = set(range(Q.START + 3, Q.TARGET + 1))
     for name in ("sample_positive_first", "sample_negative_ratio"):
         assert {r.t for r in Q.QUERIES[name](spark, FOLDER).select("t").distinct().collect()} == months
+
+
+@pytest.mark.parametrize("name,keys", [("p5_found", ["field", "key_value"]), ("p5_items", ["item_id"]), ("p5_locations", ["location"])])
+def test_hot_keys_and_repeated_rows_reach_several_salts(spark, monkeypatch, name, keys):
+    seen, salted = [], skew.salted
+    monkeypatch.setattr(skew, "salted", lambda *a: seen.append(salted(*a)) or seen[-1])
+    DQ.QUERIES[name](spark, FOLDER).collect()
+    marked = seen[0].cache()
+    spread = F.countDistinct("__salt").alias("salts")
+    hot = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), spread).where("n >= 200").collect()
+    assert hot and all(r.salts >= 16 for r in hot)
+    equal = marked.groupBy(*(c for c in marked.columns if c not in ("__salt", "__row"))).agg(spread)
+    assert equal.where("salts > 1").count() > 0
+    marked.unpersist()
+    sales = DQ._sales(spark, FOLDER, "__position")
+    assert sales.select("__position").distinct().count() == sales.count()
