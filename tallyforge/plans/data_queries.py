@@ -98,7 +98,7 @@ def p5_locations(spark: SparkSession, d: str) -> DataFrame:
     return _per_key(spark, d, "location")
 
 
-QUERIES = {f.__name__: f for f in (p1_features, p1_cells, p3_rolling, p3_rolling_full, p4_found, p4_report, p5_found, p5_items, p5_locations)}
+QUERIES = {f.__name__: f for f in (p1_features, p1_cells, p3_rolling_full, p3_rolling, p4_found, p4_report, p5_found, p5_items, p5_locations)}
 
 
 def item_sql(c: str = "item_id") -> str:

@@ -63,3 +63,7 @@ def test_hot_keys_and_repeated_rows_reach_several_salts(spark, monkeypatch, name
     marked.unpersist()
     sales = DQ._sales(spark, FOLDER, "__position")
     assert sales.select("__position").distinct().count() == sales.count()
+
+
+def test_the_first_p3_query_has_the_full_calendar():
+    assert next(n for n in DQ.QUERIES if n.startswith("p3_")) == "p3_rolling_full"
