@@ -1,62 +1,149 @@
-"""References to keys that are missing, deleted or not there yet: ordered replay of keyed parent state."""
+"""References to keys that are missing, deleted or not there yet: keyed state of references and parents, kept incrementally."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.operators.skew import heavy_keys
-from tallyforge.sources.tables import row_hash
+from tallyforge.sources.tables import exists, scratch_path
 
 #: Sort places at one instant: what was known from the start, a deletion, a listing, then references.
 START, DELETED, LISTED, REFERENCE = 0, 1, 2, 9
+#: Rows of a key in one replayed part; a key with more is replayed in as many parts as that takes.
+PER_PART = 1_000_000
+CHANGES = "key string, at timestamp_ntz, place int"
+STATES = "key string, source string, at timestamp_ntz, n bigint, reason string"
+
+
+def parent_changes(parents: DataFrame, log: DataFrame) -> DataFrame:
+    """What parents do, as distinct key, at, place. parents has a column key; log has key, action ("listed" or "delisted"),
+    at. Each known key has one row at the start (at null), then one per distinct dated action.
+
+    Null keys are dropped; log rows without a date or with another action make their key known, no more."""
+    known = parents.select("key").unionByName(log.select("key")).dropna()
+    known = known.select("key", F.lit(None).cast("timestamp_ntz").alias("at"), F.lit(START).alias("place"))
+    acts = log.where(F.col("key").isNotNull() & F.col("at").isNotNull() & F.col("action").isin("listed", "delisted"))
+    acts = acts.select("key", F.col("at").cast("timestamp_ntz").alias("at"), F.when(F.col("action") == "delisted", DELETED).otherwise(LISTED).alias("place"))
+    return known.unionByName(acts).distinct()
+
+
+def timeline(changes: DataFrame) -> DataFrame:
+    """changes with the state from each on: at the start "later" if the key's first dated action lists it, else "there"; then
+    "deleted" or "there". Of a deletion and a listing at one instant the listing counts as the later one."""
+    dated = F.when(F.col("place") != START, F.struct("at", "place"))
+    first = changes.groupBy("key").agg(F.min(dated).alias("first"))
+    start = first.select("key", F.lit(None).cast("timestamp_ntz").alias("at"), F.lit(START).alias("place"), F.when(F.col("first.place") == LISTED, "later").otherwise("there").alias("state"))
+    return start.unionByName(changes.where(F.col("place") != START).withColumn("state", F.when(F.col("place") == DELETED, "deleted").otherwise("there")))
 
 
 def parent_timeline(parents: DataFrame, log: DataFrame) -> DataFrame:
-    """State changes by key: key, at, place, state. parents has a column key; log has key, action ("listed" or
-    "delisted"), at. Each known key has one row at the start (at null): "later" if its first log row lists it,
-    else "there"; then one row per distinct log row: "deleted" or "there".
+    return timeline(parent_changes(parents, log))
 
-    Null keys are dropped; log rows without a date or with another action make their key known, no more.
-    Of a deletion and a listing at one instant the listing counts as the later one.
-    """
-    changes = (
-        log.where(F.col("key").isNotNull() & F.col("at").isNotNull() & F.col("action").isin("listed", "delisted"))
-        .select("key", "at", F.when(F.col("action") == "delisted", DELETED).otherwise(LISTED).alias("place"))
-        .distinct()
-    )
-    first = changes.select("key", F.struct("at", "place").alias("first"))
-    known = parents.select("key").unionByName(log.select("key")).dropna().select("key", F.lit(None).cast(first.schema["first"].dataType).alias("first"))
-    start = known.unionByName(first).groupBy("key").agg(F.min("first").alias("first"))
-    start = start.select("key", F.lit(None).cast(changes.schema["at"].dataType).alias("at"), F.lit(START).alias("place"), F.when(F.col("first.place") == LISTED, "later").otherwise("there").alias("state"))
-    return start.unionByName(changes.withColumn("state", F.when(F.col("place") == DELETED, "deleted").otherwise("there")))
-
-
-def reference_states(references: DataFrame, timeline: DataFrame, total_rows: int, heavy_share: float = 0.01, salts: int = 32) -> DataFrame:
+
+def reference_states(references: DataFrame, timeline: DataFrame, per_part: int = PER_PART) -> DataFrame:
     """references (key, at and any other columns) with the state of their key at that instant: "there",
     "deleted", "later" or "missing".
 
     Changes and references of a key are replayed in order of time and the last state is carried along, so
-    each reference probes the state as it was: a listing resolves what follows it, a deletion reopens it.
-    A key that holds at least heavy_share of the references (at most 1/heavy_share keys) is replayed in salted
-    parts, each with all of the key's changes.
+    each reference probes the state as it was. The number of a key's parts follows its rows (about per_part each); each
+    part has all of the key's changes. Which keys have more than one part is a table of at most rows/per_part rows; how it is
+    joined is left to Spark's size rules.
 
     References without key or time are left out. Equal references each get a row.
     """
-    mark = heavy_keys(references, ["key"], max(1.0, heavy_share * total_rows)).select("key", F.lit(True).alias("__heavy"))
     extra = [c for c in references.columns if c not in ("key", "at")]
-    marked = F.when(F.col("__heavy"), F.pmod(row_hash(references, 72), F.lit(salts)).cast("int")).otherwise(0)
-    asked = references.where(F.col("key").isNotNull() & F.col("at").isNotNull()).join(F.broadcast(mark), "key", "left")
-    asked = asked.select("key", "at", *extra, marked.alias("__salt"), F.lit(REFERENCE).alias("place"), F.lit(None).cast("string").alias("state"))
-    copies = F.when(F.col("__heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    known = timeline.join(F.broadcast(mark), "key", "left").withColumn("__salt", F.explode(copies)).drop("__heavy")
-    replay = asked.unionByName(known, allowMissingColumns=True)
-    order = Window.partitionBy("key", "__salt").orderBy(F.col("at").asc_nulls_first(), "place").rowsBetween(Window.unboundedPreceding, 0)
+    asked = references.where(F.col("key").isNotNull() & F.col("at").isNotNull())
+    large = asked.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / per_part).cast("int").alias("__parts")).where(F.col("__parts") > 1)
+    part = F.coalesce(F.pmod(F.xxhash64("at", *extra), "__parts"), F.lit(0)).cast("int")
+    rows = asked.join(large, "key", "left").select("key", "at", *extra, part.alias("__part"), F.lit(REFERENCE).alias("place"), F.lit(None).cast("string").alias("state"))
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))
+    known = timeline.join(large, "key", "left").withColumn("__part", copies).drop("__parts")
+    replay = rows.unionByName(known, allowMissingColumns=True)
+    order = Window.partitionBy("key", "__part").orderBy(F.col("at").asc_nulls_first(), "place").rowsBetween(Window.unboundedPreceding, 0)
     carried = replay.withColumn("state", F.coalesce(F.last("state", ignorenulls=True).over(order), F.lit("missing")))
     return carried.where(F.col("place") == REFERENCE).select("key", "at", *extra, "state")
 
 
-def orphan_counts(references: DataFrame, timeline: DataFrame, total_rows: int, source: str = "table_name") -> DataFrame:
-    """Orphan references by source, month, key and reason: source, period (YYYY-MM), key, reason, n."""
-    states = reference_states(references, timeline, total_rows).where(F.col("state") != "there")
+def combined(references: DataFrame, source: str = "table_name") -> DataFrame:
+    """References of one key, table and instant as one row with their number: key, source, at, n. Combined before the shuffle."""
+    kept = references.where(F.col("key").isNotNull() & F.col("at").isNotNull() & F.col(source).isNotNull())
+    return kept.groupBy("key", F.col(source).alias("source"), F.col("at").cast("timestamp_ntz").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+
+
+class OrphanState:
+    """References and their parents as they arrive in batches, kept as tables in the shared folder: for each key its parent's
+    changes (the parent index), and its references with the reason for which they are orphans, or "there".
+
+    advance() takes one batch: its references probe the parent index; a key of which a new change arrives, in whatever order of
+    time, has its waiting references judged anew, which resolves orphans whose parent has come, reopens those of
+    a parent that turns out to be deleted, and tells "missing" from "later". Each batch only writes what it judged (refs)
+    and the keys that changed (touched); a row holds until its key is touched by a later batch.
+
+    Batches are numbered; a batch that is repeated after a failure replaces what it wrote before."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
+        self.spark, self.folder = spark, (folder or scratch_path(spark)).rstrip("/")
+
+    def _read(self, name: str, schema: str, before: int | None) -> DataFrame:
+        at = f"{self.folder}/{name}"
+        if not exists(self.spark, at):
+            return self.spark.createDataFrame([], f"{schema}, batch int")
+        df = self.spark.read.schema(f"{schema}, batch int").parquet(at)
+        return df if before is None else df.where(F.col("batch") < before)
+
+    def _write(self, df: DataFrame, name: str, batch: int) -> DataFrame:
+        at = f"{self.folder}/{name}/batch={batch}"
+        df.write.mode("overwrite").parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def current(self, before: int | None = None) -> DataFrame:
+        """key, source, at, n, reason of all references so far."""
+        refs = self._read("refs", STATES, before)
+        last = self._read("touched", "key string", before).groupBy("key").agg(F.max("batch").alias("last"))
+        return refs.join(last, "key", "left").where(F.col("last").isNull() | (F.col("batch") >= F.col("last"))).drop("batch", "last")
+
+    def advance(self, batch: int, references: DataFrame, parents: DataFrame, log: DataFrame) -> None:
+        """references: key, table_name, at; parents: key; log: key, action, at. Null keys, references without table or time have no effect."""
+        known = self._read("changes", CHANGES, batch).drop("batch")
+        new = parent_changes(parents, log).alias("a").join(known.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.place") == F.col("b.place")) & F.col("a.at").eqNullSafe(F.col("b.at")), "left_anti")
+        new = self._write(new, "changes", batch)
+        asked = combined(references)
+        if batch and exists(self.spark, f"{self.folder}/refs"):
+            touched = self._write(new.select("key").distinct(), "touched", batch)
+            if not touched.isEmpty():
+                asked = asked.unionByName(self.current(batch).drop("reason").join(touched, "key", "left_semi"))
+        states = reference_states(asked, timeline(known.unionByName(new)))
+        self._write(states.select("key", "source", "at", "n", F.col("state").alias("reason")), "refs", batch)
+
+    def counts(self) -> DataFrame:
+        """Orphan references: table_name, period (YYYY-MM), key, reason, n."""
+        month = F.year("at") * 12 + F.month("at") - 1
+        groups = self.current().where(F.col("reason") != "there").groupBy("source", month.alias("month"), "key", "reason").agg(F.sum("n").alias("n"))
+        period = F.format_string("%04d-%02d", F.floor(F.col("month") / 12).cast("int"), F.col("month") % 12 + 1)
+        return groups.select(F.col("source").alias("table_name"), period.alias("period"), "key", "reason", "n")
+
+    def snapshot(self) -> DataFrame:
+        """Orphan references and their distinct keys per table, period and reason, as of the last batch."""
+        return orphan_report(self.counts())
+
+
+def replay(references: DataFrame, parents: DataFrame, log: DataFrame, slices: int = 4) -> OrphanState:
+    """Whole tables through the state, in slices of time of about equal numbers of references; parents without a date come
+    first. The slices' bounds are approximate quantiles; which slice a row comes in has no part in the result."""
+    state = OrphanState(references.sparkSession)
+    at = F.col("at").cast("timestamp_ntz")
+    seconds = F.unix_timestamp(F.col("at").cast("timestamp"))
+    marks = [i / slices for i in range(1, slices)]
+    cuts = (references.agg(F.percentile_approx(seconds, marks, 1000)).first()[0] if marks else None) or []
+    bounds = [None, *sorted({*cuts}), None]
+    moments = [None if b is None else F.timestamp_seconds(F.lit(b)).cast("timestamp_ntz") for b in bounds]
+    for i, (a, b) in enumerate(zip(moments, moments[1:])):
+        inside = lambda first: (F.lit(True) if a is None else at >= a) & (F.lit(True) if b is None else at < b) | (F.lit(first) & at.isNull())  # noqa: B023, E731
+        state.advance(i, references.where(inside(False)), parents if i == 0 else parents.limit(0), log.where(inside(i == 0)))
+    return state
+
+
+def orphan_counts(references: DataFrame, timeline: DataFrame, source: str = "table_name") -> DataFrame:
+    """The same in one batch over whole tables, without state: source, period (YYYY-MM), key, reason, n."""
+    states = reference_states(references, timeline).where(F.col("state") != "there")
     month = F.year("at") * 12 + F.month("at") - 1
     groups = states.groupBy(source, month.alias("month"), "key", F.col("state").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
     period = F.format_string("%04d-%02d", F.floor(F.col("month") / 12).cast("int"), F.col("month") % 12 + 1)

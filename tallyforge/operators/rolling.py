@@ -1,13 +1,10 @@
 """Totals and averages over trailing periods for each entity and day, days without activity included."""
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-BLOCKS_PER_TASK, MOST_TASKS = 8, 50_000
-KINDS = {"int": T.IntegerType(), "bigint": T.LongType(), "string": T.StringType()}
+#: Result rows that a task makes at most, about: its number of tasks follows the result, not the shuffle's bytes.
+ROWS_PER_TASK = 16_000_000
 
 
 def daily_totals(df: DataFrame, keys: list[str], day: str, value: str) -> DataFrame:
@@ -21,78 +18,38 @@ def daily_totals(df: DataFrame, keys: list[str], day: str, value: str) -> DataFr
     )
 
 
-def rolling_totals(
-    df: DataFrame, keys: list[str], day: str, value: str, windows: tuple[int, ...] = (7, 30),
-    calendar: str = "active", rows_per_block: int = 20_000,
-) -> DataFrame:
-    """One row per entity and day: keys, day, total (of the day) and, for each window w, total_wd over the w
-    days that end with the day and avg_wd = total_wd / w (days without activity count as 0).
+def rolling_totals(df: DataFrame, keys: list[str], day: str, value: str, windows: tuple[int, ...] = (7, 30), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """One row per entity and day of the table's calendar (its first to its last day): keys, day, total (of the day) and,
+    for each window w, total_wd over the w days that end with the day and avg_wd = total_wd / w (days without
+    activity count as 0).
 
-    Each daily total is put onto every date it influences, the contributions are added by entity and date,
-    and the calendar's other dates are zeros: within a block of entities this is one scatter-add for each day of the
-    longest window over a zeroed array that holds every date of every entity.
+    Each daily total is exploded onto the dates at which its influence on a total begins or ends, contributions are added
+    by entity and date, and their running totals hold until the entity's next such date: the calendar's dates in between
+    (and those before the first one, which are zeros) are filled in from there. All of it after one shuffle of the daily
+    totals by entity, and in the JVM.
 
-    calendar="active": each entity's dates run from its first day to the last day of the table or the last
-    day on which a window is not empty, whichever comes first; outside of them everything is 0.
-    calendar="full": all entities get all days from the table's first to its last.
-
-    Rows with a null key or day are left out; a null value adds 0 but its day counts as active; negative
-    values add as they are; repeated rows count each time; an empty table gives no rows.
+    Rows with a null key or day are left out; a null value adds 0; negative values add as they are; repeated rows count
+    each time; an empty table gives no rows. Other columns of df, of whatever name, play no part.
     """
-    kinds = dict(df.dtypes)
-    bounds = df.dropna(subset=[*keys, day]).agg(F.min(F.col(day).cast("date")), F.max(F.col(day).cast("date")), F.count(F.lit(1))).first()
-    low, high, rows = bounds[0], bounds[1], bounds[2]
-    epoch = np.datetime64("1970-01-01", "D")
-    first, last = (0, -1) if low is None else (int((np.datetime64(low) - epoch).astype(int)), int((np.datetime64(high) - epoch).astype(int)))
-    span = max(windows)
-    per_block = max(1, rows_per_block * span // max(span, last - first + 1)) if calendar == "full" else rows_per_block
-    blocks = max(1, -(-rows // per_block))
-    schema = T.StructType([*(T.StructField(k, KINDS[kinds[k]]) for k in keys), T.StructField("day", T.DateType()), T.StructField("total", T.LongType())])
-    for w in windows:
-        schema = schema.add(f"total_{w}d", T.LongType()).add(f"avg_{w}d", T.DoubleType())
-
-    def block(t: pa.Table) -> pa.Table:
-        keyed = t.sort_by([*((k, "ascending") for k in keys), ("day", "ascending")])
-        days = keyed.column("day").cast(pa.int32()).to_numpy().astype(np.int64)
-        totals = keyed.column("total").to_numpy()
-        new = np.zeros(len(days), bool)
-        new[0] = True
-        for k in keys:
-            one = keyed.column(k).combine_chunks()
-            if pa.types.is_string(one.type) or pa.types.is_large_string(one.type):
-                one = one.dictionary_encode().indices
-            one = one.to_numpy(zero_copy_only=False)
-            new[1:] |= one[1:] != one[:-1]
-        start = np.flatnonzero(new)
-        entity = np.cumsum(new) - 1
-        end = np.append(start[1:], len(days)) - 1
-        if calendar == "full":
-            begin, until = np.full(len(start), first), np.full(len(start), last)
-        else:
-            begin, until = days[start], np.minimum(days[end] + span - 1, last)
-        lengths = until - begin + 1
-        offset = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        size = int(lengths.sum())
-        at, edge = offset[entity] + days - begin[entity], (offset + lengths)[entity]
-        columns = {"total": np.zeros(size, np.int64), **{w: np.zeros(size, np.int64) for w in windows}}
-        columns["total"][at] = totals
-        for ahead in range(span):  # an entity has each day once, so no position occurs twice in one step
-            on = at + ahead < edge
-            to, what = at[on] + ahead, totals[on]
-            for w in windows:
-                if ahead < w:
-                    columns[w][to] += what
-        which = np.repeat(np.arange(len(start)), lengths)
-        dates = np.arange(size) - np.repeat(offset, lengths) + np.repeat(begin, lengths)
-        heads = keyed.select(keys).take(pa.array(start))
-        out = [heads.column(k).combine_chunks().take(pa.array(which)) for k in keys]
-        out += [pa.array(dates.astype(np.int32)).cast(pa.date32()), pa.array(columns["total"])]
-        for w in windows:
-            out += [pa.array(columns[w]), pa.array(columns[w] / w)]
-        return pa.Table.from_arrays(out, names=schema.names)
-
-    daily = daily_totals(df, keys, day, value).withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
-    # rows grow about span-fold in a block's task, so its number of tasks follows the result, not the shuffle's bytes
-    # (a task takes its blocks one after the other, so beyond MOST_TASKS they get more of them, at the same memory)
-    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-blocks // BLOCKS_PER_TASK)))
-    return daily.select("block", *keys, "day", "total").repartition(tasks, "block").groupBy("block").applyInArrow(block, schema)
+    dated = df.dropna(subset=[*keys, day])
+    low, high, rows = dated.agg(F.min(F.col(day).cast("date")), F.max(F.col(day).cast("date")), F.count(F.lit(1))).first()
+    spans = {"total": 1, **{f"total_{w}d": w for w in windows}}
+    length = 1 if low is None else (high - low).days + 1
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows * length // rows_per_task))
+    daily = daily_totals(df, keys, day, value).repartition(tasks, *keys)
+    zero = F.lit(0).cast("bigint")
+    edges = [F.struct(F.col("day").alias("__from"), *(F.col("total").alias(f"__{n}") for n in spans))]
+    for w in sorted({*spans.values()}):
+        edges.append(F.struct(F.date_add("day", w).alias("__from"), *((-F.col("total") if v == w else zero).alias(f"__{n}") for n, v in spans.items())))
+    parts = daily.select(*keys, F.explode(F.array(*edges)).alias("__e")).select(*keys, "__e.*").where(F.col("__from") <= F.lit(high))
+    changes = parts.groupBy(*keys, "__from").agg(*(F.sum(f"__{n}").alias(f"__{n}") for n in spans))
+    order = Window.partitionBy(*keys).orderBy("__from")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    held = changes.select(*keys, "__from", F.lead("__from").over(order).alias("__next"), F.row_number().over(order).alias("__k"), *(F.sum(f"__{n}").over(so_far).alias(n) for n in spans))
+    until = F.coalesce(F.date_sub("__next", 1), F.lit(high))
+    own = F.struct(F.col("__from").alias("a"), until.alias("b"), *spans)
+    before = F.struct(F.lit(low).alias("a"), F.date_sub("__from", 1).alias("b"), *(zero.alias(n) for n in spans))
+    first = (F.col("__k") == 1) & (F.col("__from") > F.lit(low))
+    stretches = held.select(*keys, F.explode(F.when(first, F.array(before, own)).otherwise(F.array(own))).alias("__s")).select(*keys, "__s.*")
+    dates = stretches.select(*keys, F.explode(F.sequence("a", "b")).alias("day"), *spans)
+    return dates.select(*keys, "day", "total", *(c for w in windows for c in (F.col(f"total_{w}d"), (F.col(f"total_{w}d") / w).alias(f"avg_{w}d"))))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import values as V
 from tallyforge.operators.feature_table import EPOCH, MOST_TYPES, feature_table
-from tallyforge.operators.orphans import orphan_counts, orphan_report, parent_timeline
+from tallyforge.operators.orphans import OrphanState, replay
 from tallyforge.operators.rolling import rolling_totals
 from tallyforge.operators.skew import salted_aggregate
 from tallyforge.sources.tables import table, with_position
@@ -36,34 +36,28 @@ def _sales(spark: SparkSession, d: str, *more: str) -> DataFrame:
 
 
 def p3_rolling(spark: SparkSession, d: str) -> DataFrame:
-    """Problem 3: quantity over the trailing 7 and 30 days for each location, item and day from the pair's first
-    sale until its windows are empty again; all rows with location, id and date count."""
+    """Problem 3: quantity over the trailing 7 and 30 days for each location and item and every day of the table; all
+    rows with location, id and date count."""
     return rolling_totals(_sales(spark, d), ["location", "item_id"], "updated_date", "quantity")
 
 
-def p3_rolling_full(spark: SparkSession, d: str) -> DataFrame:
-    """Problem 3 with all days of the table for each pair, also before its first sale and after its last."""
-    return rolling_totals(_sales(spark, d), ["location", "item_id"], "updated_date", "quantity", calendar="full")
-
-
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
+def _orphans(spark: SparkSession, d: str) -> OrphanState:
     sales, events = table(spark, d, "transaction_full_2025"), table(spark, d, "event_full_2025")
     key = V.item_key(F.col("item_id")).alias("key")
     references = sales.select(F.lit("transaction_full_2025").alias("table_name"), key, F.col("updated_date").alias("at"))
     references = references.unionByName(events.select(F.lit("event_full_2025").alias("table_name"), key, F.col("event_date").alias("at")))
     log = table(spark, d, "item_log").select(key, V.action(F.col("action")).alias("action"), F.col("action_date").alias("at"))
-    timeline = parent_timeline(table(spark, d, "items").select(key), log)
-    return orphan_counts(references, timeline, sales.count() + events.count())
+    return replay(references, table(spark, d, "items").select(key), log)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Problem 4: distinct orphan cases by table, month, item and reason."""
-    return _orphans(spark, d).select("table_name", "period", F.col("key").alias("item_id"), "reason")
+    """Problem 4: distinct orphan cases by table, month, item and reason, from the keyed state after its last batch."""
+    return _orphans(spark, d).counts().select("table_name", "period", F.col("key").alias("item_id"), "reason")
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    """Problem 4: orphan rows and items per table, month and reason."""
-    return orphan_report(_orphans(spark, d))
+    """Problem 4: orphan rows and items per table, month and reason: the state's last snapshot."""
+    return _orphans(spark, d).snapshot()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +69,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
         F.struct(F.lit("location").alias("field"), V.valid_location(F.col("location")).cast("string").alias("key_value")),
     ))
     keyed = rows.select(both.alias("k"), "__position").select("k.*", "__position").where(F.col("key_value").isNotNull())
-    counts = salted_aggregate(keyed, ["field", "key_value"], {"n": ("count", "*")}, total_rows=total)
+    counts = salted_aggregate(keyed, ["field", "key_value"], {"n": ("count", "*")})
     return counts.where(F.col("n") * 100 >= 3 * total).select("field", "key_value")
 
 
@@ -84,8 +78,7 @@ def _per_key(spark: SparkSession, d: str, key: str) -> DataFrame:
     revenue = F.col("amount").cast("decimal(38,0)") * F.col("quantity")
     sales = sales.withColumn("revenue", revenue.cast("decimal(38,0)")).where(F.col(key).isNotNull())
     what = {"n_rows": ("count", "*"), "quantity": ("sum", "quantity"), "revenue": ("sum", "revenue"), "low_price": ("min", "amount"), "high_price": ("max", "amount"), "customers": ("count_distinct", "customer_id"), "mean_quantity": ("avg", "quantity")}
-    rows = table(spark, d, "transaction_full_2025").count()
-    return salted_aggregate(sales, [key], what, total_rows=rows).withColumn("revenue", F.col("revenue").cast("double"))
+    return salted_aggregate(sales, [key], what).withColumn("revenue", F.col("revenue").cast("double"))
 
 
 def p5_items(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +91,7 @@ def p5_locations(spark: SparkSession, d: str) -> DataFrame:
     return _per_key(spark, d, "location")
 
 
-QUERIES = {f.__name__: f for f in (p1_features, p1_cells, p3_rolling_full, p3_rolling, p4_found, p4_report, p5_found, p5_items, p5_locations)}
+QUERIES = {f.__name__: f for f in (p1_features, p1_cells, p3_rolling, p4_found, p4_report, p5_found, p5_items, p5_locations)}
 
 
 def item_sql(c: str = "item_id") -> str:
@@ -118,13 +111,12 @@ def type_sql(c: str = "event_type") -> str:
 PAIRS = f"(select case when location >= 0 then location end as location, {item_sql()} as item_id, cast(updated_date as date) as day, quantity from transaction_full_2025)"
 
 
-def _rolling_sql(begin: str, until: str) -> str:
-    return f"""
+ROLLING = f"""
 with daily as (select location, item_id, day, cast(coalesce(sum(quantity), 0) as bigint) as total from {PAIRS}
                where location is not null and item_id is not null and day is not null group by 1, 2, 3),
  ends as (select min(day) as low, max(day) as high from daily),
- pairs as (select location, item_id, min(day) as a, max(day) as b from daily group by 1, 2),
- dates as (select location, item_id, cast(unnest(generate_series(cast({begin} as timestamp), cast({until} as timestamp), interval 1 day)) as date) as day from pairs, ends),
+ pairs as (select distinct location, item_id from daily),
+ dates as (select location, item_id, cast(unnest(generate_series(cast(low as timestamp), cast(high as timestamp), interval 1 day)) as date) as day from pairs, ends),
  filled as (select d.location, d.item_id, d.day, coalesce(x.total, 0) as total from dates d left join daily x using (location, item_id, day)),
  w as (select *, sum(total) over (partition by location, item_id order by day rows 6 preceding) as a, sum(total) over (partition by location, item_id order by day rows 29 preceding) as b from filled)
 select location, item_id, day, cast(total as bigint) as total, cast(a as bigint) as total_7d, a / 7.0::double as avg_7d, cast(b as bigint) as total_30d, b / 30.0::double as avg_30d from w"""
@@ -155,8 +147,7 @@ SQL = {
 with e as (select {item_sql()} as item_id, {type_sql()} as event_type, cast(event_date as date) as day, quantity from event_full_2025)
 select item_id, event_type, count(*) as n, cast(date_diff('day', max(day), (select max(day) from e)) as int) as recency_days, cast(coalesce(sum(quantity), 0) as bigint) as total
 from e where item_id is not null and event_type in (select event_type from event_types) group by 1, 2""",
-    "p3_rolling": _rolling_sql("a", "least(b + 29, high)"),
-    "p3_rolling_full": _rolling_sql("low", "high"),
+    "p3_rolling": ROLLING,
     "p4_found": CASES + "\nselect distinct table_name, strftime(ts, '%Y-%m') as period, id as item_id, reason from s where reason is not null",
     "p4_report": CASES.replace("select distinct table_name, id, ts from refs", "select table_name, id, ts from refs")
     + "\nselect table_name, strftime(ts, '%Y-%m') as period, reason, count(*) as n_rows, count(distinct id) as n_keys from s where reason is not null group by 1, 2, 3",

@@ -33,14 +33,41 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read back: computed once, and not lost with an executor."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _path(spark, path)
+    return files.exists(at)
+
+
+_scratch: list[str] = []
 
 
 def scratch_path(spark: SparkSession) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/tallyforge-{uuid.uuid4().hex}"
+    """A new path in the shared folder. What is written there is deleted by release(), at the latest when the application ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/tallyforge-{uuid.uuid4().hex}"
+    at, files = _path(spark, path)
+    files.deleteOnExit(at)
+    _scratch.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all scratch tables so far; their frames can't be read any more. For between two queries."""
+    while _scratch:
+        at, files = _path(spark, _scratch.pop())
+        files.delete(at, True)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read back: computed once, not lost with an executor, and in columns, so that
+    a reader takes only those it needs and Spark knows the table's size."""
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def row_hash(df: DataFrame, seed: int = 0) -> "F.Column":

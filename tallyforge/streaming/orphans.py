@@ -1,64 +1,32 @@
-"""Pending orphan references kept per key while references and parents arrive."""
+"""Pending orphan references kept per key while references and parents arrive as a stream."""
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter
 
-COLUMNS = "key string, kind string, at timestamp_ntz, table_name string, period string"
-OUT = "key string, table_name string, period string, reason string, open_rows bigint"
-OTHERS = ["listed", "delisted"]
+from tallyforge.operators.orphans import OrphanState
 
+COLUMNS = "key string, kind string, at timestamp_ntz, table_name string"
 
-def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """References of one key, table and month become one row with their number, before the shuffle: a hot key
-    sends a few rows per task and batch."""
-    for t in batches:
-        t = t[t["key"].notna() & t["kind"].notna()]
-        refs, rest = t[t["kind"] == "reference"], t[t["kind"].isin(OTHERS)]
-        counts = refs.groupby(["key", "table_name", "period"], dropna=True).size().reset_index(name="n")
-        counts["kind"], counts["at"] = "reference", pd.NaT
-        yield pd.concat([counts, rest.assign(n=1)])[["key", "kind", "at", "table_name", "period", "n"]]
 
+def pending_orphans(arrivals: DataFrame, folder: str, snapshot: Callable[[DataFrame, int], None] | None = None) -> DataStreamWriter:
+    """A writer that brings each micro-batch of arrivals (COLUMNS; kind is "reference", "parent", "listed" or "delisted") into the
+    OrphanState in folder, and gives snapshot, if there is one, its counts per table, month and reason after each batch.
 
-def _advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One batch of one key: references probe the state, a listing resolves what waits, a deletion reopens it.
+    It is the state of the batch replay: references, and parents of any time, may come in any order. Null keys, other
+    kinds, references without table or time have no effect; listings without a time make their key known. A batch that
+    is repeated after a failure replaces what it wrote. Start it with a checkpointLocation."""
+    spark = arrivals.sparkSession
 
-    The state is the parent's status and the number of references by table and month, so it is bounded by tables
-    times months. Parents act in order of their own time; of two at one instant the listing is the later one."""
-    status, moment, cells = state.get if state.exists else ("missing", "", "{}")
-    cells = json.loads(cells)
-    before = {k: n if status != "there" else 0 for k, n in cells.items()}
-    for t in parts:
-        for r in t.itertuples(index=False):
-            if r.kind == "reference":
-                cell = json.dumps([r.table_name, r.period])
-                cells[cell] = cells.get(cell, 0) + int(r.n)
-            elif pd.notna(r.at):
-                at = f"{pd.Timestamp(r.at).isoformat(timespec='microseconds')}{int(r.kind == 'listed')}"
-                if at >= moment:
-                    status, moment = ("there" if r.kind == "listed" else "deleted"), at
-    state.update((status, moment, json.dumps(cells)))
-    changed = [(k, n if status != "there" else 0) for k, n in cells.items()]
-    rows = [(key[0], *json.loads(k), status, n) for k, n in changed if before.get(k) != n]
-    yield pd.DataFrame(rows, columns=["key", "table_name", "period", "reason", "open_rows"])
+    def take(df: DataFrame, batch: int) -> None:
+        state, kind = OrphanState(spark, folder), F.col("kind")
+        df = df.persist()
+        refs, log = df.where(kind == "reference"), df.where(kind.isin("listed", "delisted"))
+        state.advance(int(batch), refs.select("key", "table_name", "at"), df.where(kind == "parent").select("key"), log.select("key", kind.alias("action"), "at"))
+        df.unpersist()
+        if snapshot:
+            snapshot(state.snapshot(), int(batch))
 
-
-def pending_orphans(arrivals: DataFrame) -> DataFrame:
-    """A stream of changes of open orphan counts: key, table_name, period, reason, open_rows (0 once resolved).
-
-    arrivals: key, kind ("reference", "listed", "delisted"), at, table_name, period. Null keys, other kinds, references
-    without table or period and parents without a time have no effect; late parents older than the last one are passed over.
-    The latest row of each key, table and period is the state; sum it up for a snapshot (snapshot()).
-    """
-    combined = arrivals.mapInPandas(_combine, "key string, kind string, at timestamp_ntz, table_name string, period string, n bigint")
-    return combined.groupBy("key").applyInPandasWithState(_advance, OUT, "status string, moment string, cells string", "update", GroupStateTimeout.NoTimeout)
-
-
-def snapshot(latest: DataFrame) -> DataFrame:
-    """Counts per table, month and reason of the latest rows (one per key, table and period)."""
-    open_now = latest.where(F.col("open_rows") > 0)
-    return open_now.groupBy("table_name", "period", "reason").agg(F.sum("open_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_keys"))
+    return arrivals.writeStream.foreachBatch(take)

@@ -1,9 +1,12 @@
 import datetime
 import random
-from collections import Counter, defaultdict
+from collections import defaultdict
 
+from pyspark.sql import functions as F
+
+from tallyforge.operators.orphans import orphan_counts, orphan_report, parent_timeline
 from tallyforge.streaming.cubes import daily_sales
-from tallyforge.streaming.orphans import COLUMNS, pending_orphans, snapshot
+from tallyforge.streaming.orphans import COLUMNS, pending_orphans
 
 T = datetime.datetime
 
@@ -18,27 +21,27 @@ def run(spark, parts, schema, build, tmp_path, mode):
     return got
 
 
-def test_pending_orphans(spark, tmp_path):
+def test_pending_orphans_equal_batch(spark, tmp_path):
+    """Micro-batches with parents in any order of time give what the batch form gives over all rows, after each batch."""
     r = random.Random(6)
     keys = [None, "hot", *"abcdef"]
+    at = lambda: r.choice([None, *(T(2025, 1, 1) + datetime.timedelta(days=d) for d in range(80))])
     parts = []
-    for step in range(3):
-        rows = [("hot" if r.random() < 0.5 else r.choice(keys), "reference", T(2025, 1, 1), r.choice(["s", "e", None]), "2025-01") for _ in range(80)]
-        rows += [(r.choice(keys[2:]), r.choice(["listed", "delisted", "odd"]), T(2025, 1, 1 + step * 5 + i), None, None) for i in range(4)]
-        parts.append(rows)
-    got = run(spark, parts, COLUMNS, pending_orphans, tmp_path, "update")
-    latest = {row[:3]: row[3:] for batch in got for row in batch}
-    status, refs = defaultdict(lambda: ("missing", None)), Counter()
+    for _ in range(3):
+        rows = [("hot" if r.random() < 0.5 else r.choice(keys), "reference", at(), r.choice(["s", "e", None])) for _ in range(80)]
+        parts.append(rows + [(r.choice(keys[1:]), r.choice(["listed", "delisted", "parent", "odd"]), at(), None) for _ in range(5)])
     for rows in parts:
-        for k, kind, at, table, period in rows:
-            if k and kind == "reference" and table:
-                refs[(k, table, period)] += 1
-            elif k and kind in ("listed", "delisted") and (status[k][1] is None or (at, kind == "listed") >= status[k][1]):
-                status[k] = ("there" if kind == "listed" else "deleted", (at, kind == "listed"))
-    want = {c: (status[c[0]][0], n) for c, n in refs.items() if status[c[0]][0] != "there"}
-    assert {c: v for c, v in latest.items() if v[1]} == want
-    table = snapshot(spark.createDataFrame([(*c, *v) for c, v in latest.items()], "key string, table_name string, period string, reason string, open_rows bigint"))
-    assert sum(x.n_rows for x in table.collect()) == sum(n for _, n in want.values())
+        spark.createDataFrame(rows, COLUMNS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    got = []
+    stream = spark.readStream.schema(COLUMNS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = pending_orphans(stream, f"{tmp_path}/orphans", lambda df, n: got.append({tuple(x)[:3]: (x.n_rows, x.n_keys) for x in df.collect()})).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    assert q.awaitTermination(240) and q.exception() is None and len(got) == 3
+    df = spark.read.parquet(f"{tmp_path}/in")
+    log = df.where("kind in ('listed', 'delisted')").select("key", F.col("kind").alias("action"), "at")
+    refs = df.where("kind = 'reference' and table_name is not null").select("table_name", "key", "at")
+    want = orphan_report(orphan_counts(refs, parent_timeline(df.where("kind = 'parent'").select("key"), log)))
+    assert {tuple(x)[:3]: (x.n_rows, x.n_keys) for x in want.collect()} == got[-1]
+    assert {k[2] for k in got[-1]} == {"missing", "deleted", "later"}
 
 
 def test_daily_sales_equal_batch(spark, tmp_path):

@@ -65,5 +65,7 @@ def test_hot_keys_and_repeated_rows_reach_several_salts(spark, monkeypatch, name
     assert sales.select("__position").distinct().count() == sales.count()
 
 
-def test_the_first_p3_query_has_the_full_calendar():
-    assert next(n for n in DQ.QUERIES if n.startswith("p3_")) == "p3_rolling_full"
+def test_p3_has_every_day_for_every_pair(spark):
+    rows = DQ.QUERIES["p3_rolling"](spark, FOLDER)
+    r = rows.agg(F.count(F.lit(1)), F.count_distinct("location", "item_id"), F.datediff(F.max("day"), F.min("day")) + 1).first()
+    assert r[0] == r[1] * r[2] and next(n for n in DQ.QUERIES if n.startswith("p3_")) == "p3_rolling"
