@@ -8,9 +8,18 @@ from pyspark.sql import functions as F
 from tallyforge.operators.windows import PAIR, in_window
 
 
-def month_total(sales: DataFrame, month: int) -> DataFrame:
-    """Sales of one calendar month of any year, as pred_lastmonth."""
-    return sales.where(F.month("sale_date") == month).groupBy(*PAIR).agg(F.sum("quantity").cast("double").alias("pred_lastmonth"))
+def last_month(cutoff: datetime.date) -> tuple[datetime.date, datetime.date]:
+    """First day (included) and end (excluded) of the last whole month by the cutoff: the cutoff's own, if it is that month's last day."""
+    following = cutoff + datetime.timedelta(days=1)
+    end = following.replace(day=1)
+    return (end - datetime.timedelta(days=1)).replace(day=1), end
+
+
+def month_total(sales: DataFrame, cutoff: datetime.date) -> DataFrame:
+    """Sales of the last whole month by the cutoff, as pred_lastmonth: a date range, which reaches the scan."""
+    first, end = last_month(cutoff)
+    kept = sales.where((F.col("sale_date") >= F.lit(first)) & (F.col("sale_date") < F.lit(end)))
+    return kept.groupBy(*PAIR).agg(F.sum("quantity").cast("double").alias("pred_lastmonth"))
 
 
 def scaled_trailing(sales: DataFrame, cutoff: datetime.date, days: tuple[int, ...], horizon: int = 31) -> DataFrame:
@@ -26,13 +35,14 @@ def item_average(sales: DataFrame, cutoff: datetime.date, days: int = 90) -> Dat
     return kept.agg((F.sum("quantity").cast("double") / F.count("quantity")).alias("item_global_avg"))
 
 
-def baseline(sales: DataFrame, cutoff: datetime.date, month: int) -> DataFrame:
-    """location, item_id, prediction for all pairs: month total, else 90, 56, 28 days, else the item's average, else 0.
-    One pass over the pairs gives all sources; a negative value has no say."""
+def baseline(sales: DataFrame, cutoff: datetime.date) -> DataFrame:
+    """location, item_id, prediction for all pairs: total of the last whole month, else 90, 56, 28 days, else the item's
+    average, else 0. One pass over the pairs gives all sources; a negative value has no say."""
     day, q = F.col("sale_date"), F.col("quantity")
     days = (28, 56, 90)
+    first, end = last_month(cutoff)
     sums = sales.groupBy(*PAIR).agg(
-        F.sum(F.when(F.month(day) == month, q)).cast("double").alias("last"),
+        F.sum(F.when((day >= F.lit(first)) & (day < F.lit(end)), q)).cast("double").alias("last"),
         *((F.sum(F.when(in_window(day, cutoff, n), q)).cast("double") * 31 / n).alias(f"r{n}") for n in days),
     )
     good = lambda c: F.when(F.col(c) >= 0, F.col(c))

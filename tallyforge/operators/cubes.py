@@ -5,6 +5,8 @@ import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.sources.tables import settled
+
 
 def month_number(day: Column) -> Column:
     return (F.year(day) * 12 + F.month(day)).cast("int")
@@ -77,12 +79,30 @@ def unit_prices(cube: DataFrame, items: DataFrame) -> DataFrame:
     return both.select("item_id", F.when(F.col("__listed") > 0, F.col("__listed")).otherwise(F.coalesce("__median", F.lit(0.0))).alias("price"))
 
 
-def dictionary_codes(df: DataFrame, column: str, code: str, prefix: int = 3) -> DataFrame:
-    """column and code: the place (from 0) of each distinct value in binary string order. Values are numbered within
-    their first characters, and each prefix starts after all smaller ones, so no task sorts all values."""
-    values = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("__p", F.substring(F.col(column).cast("string"), 1, prefix))
-    sizes = values.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))  # a row per prefix
-    starts = sizes.select("__p", F.coalesce(before, F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy("__p").orderBy(F.col(column).cast("string"))) - 1
-    return values.withColumn("__i", inside).join(starts, "__p").select(column, (F.col("__start") + F.col("__i")).cast("int").alias(code))
+def grain_cubes(cube: DataFrame, keys: list[str]) -> DataFrame:
+    """grain_months of several keys in one pass: the keys (all but a row's own are null), m, qty, rev, active. Keys aren't null."""
+    m = F.col("m")
+    sets = cube.groupingSets([[F.col(k), m] for k in keys], *(F.col(k) for k in keys), m)
+    return sets.agg(F.sum("qty").alias("qty"), F.sum("rev").alias("rev"), F.count_if(F.col("qty") > 0).alias("active")).select(*keys, "m", "qty", "rev", "active")
+
+
+def value_codes(values: DataFrame) -> DataFrame:
+    """field, value, code: the place (from 0) of each distinct value of a field (columns field, value as text) in binary string
+    order; nulls have none. Values are sorted in ranges of about equal size, however they are spelled, and a range's
+    places start after all earlier ones, so no task sorts them all; the driver gets nothing."""
+    spark = values.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = values.where(F.col("value").isNotNull()).select("field", "value").distinct().repartitionByRange(ranges, "field", "value").sortWithinPartitions("field", "value")
+    placed = settled(ordered.select("field", "value", F.monotonically_increasing_id().alias("__id")))
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per range
+    numbered = placed.withColumn("__part", part).join(sizes.select("__part", before.alias("__start")), "__part").select("field", "value", (F.col("__start") + place).alias("__at"))
+    starts = numbered.groupBy("field").agg(F.min("__at").alias("__first"))  # a row per field
+    return numbered.join(starts, "field").select("field", "value", (F.col("__at") - F.col("__first")).cast("int").alias("code"))
+
+
+def dictionary_codes(df: DataFrame, column: str, code: str) -> DataFrame:
+    """value_codes of one column, as column and code."""
+    codes = value_codes(df.select(F.lit(column).alias("field"), F.col(column).cast("string").alias("value")))
+    return codes.select(F.col("value").cast(df.schema[column].dataType).alias(column), F.col("code").alias(code))

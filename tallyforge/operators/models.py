@@ -5,7 +5,7 @@ from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,15 +23,51 @@ def aligned(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*(c for c in df.columns if c not in names), *(F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) if n in df.columns else F.lit(0.0).alias(n) for n in names))
 
 
+def alignment(train: list[str], score: list[str]) -> list[str]:
+    """Warnings on features that only one of two frames has: missing ones are scored as 0, further ones not at all."""
+    return [f"missing in scoring: {c}" for c in train if c not in score] + [f"unknown to the model: {c}" for c in score if c not in train]
+
+
 def _vectors(df: DataFrame, names: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="__x", handleInvalid="keep").transform(aligned(df, names))
 
 
-def fit_raw(df: DataFrame, names: list[str], weights: str = "inv_y", zero_weight: float = 1.0, trees: int = 20, depth: int = 4, seed: int = 42, log: bool = False) -> Model:
-    """Boosted trees on the target (absolute loss) or on its log1p (squared loss)."""
+def fit_raw(df: DataFrame, names: list[str], weights: str = "inv_y", zero_weight: float = 1.0, trees: int = 20, depth: int = 4, seed: int = 42, log: bool = False, valid: DataFrame | None = None) -> Model:
+    """Boosted trees on the target (absolute loss) or on its log1p (squared loss). With valid rows boosting stops once their
+    error no longer falls."""
     y = F.log1p("target") if log else F.col("target")
-    rows = _vectors(df.withColumn("__w", row_weight(F.col("target"), weights, zero_weight)).withColumn("__y", y), names)
-    return GBTRegressor(featuresCol="__x", labelCol="__y", weightCol="__w", lossType="squared" if log else "absolute", maxIter=trees, maxDepth=depth, seed=seed).fit(rows)
+    data = df if valid is None else df.withColumn("__valid", F.lit(False)).unionByName(valid.withColumn("__valid", F.lit(True)))
+    rows = _vectors(data.withColumn("__w", row_weight(F.col("target"), weights, zero_weight)).withColumn("__y", y), names)
+    model = GBTRegressor(featuresCol="__x", labelCol="__y", weightCol="__w", lossType="squared" if log else "absolute", maxIter=trees, maxDepth=depth, seed=seed)
+    return (model if valid is None else model.setValidationIndicatorCol("__valid")).fit(rows)
+
+
+def refit(model: Model, df: DataFrame, names: list[str], least: int = 5, **kw: object) -> Model:
+    """A model fitted again on other rows with the rounds it took (least at the least), without validation."""
+    return fit_raw(df, names, trees=max(least, model.getNumTrees), **kw)
+
+
+def save_model(model: Model, path: str) -> None:
+    """Written by Spark's own model writer, to any file system executors share."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> Model:
+    return GBTRegressionModel.load(path)
+
+
+def weighted_finals(train: DataFrame, valid: DataFrame, score: DataFrame, names: list[str], folder: str, modes: tuple[str, ...] = ("none", "inv_y", "inv_sqrt_y"), trees: int = 20) -> DataFrame:
+    """location, item_id, t, weight_mode, prediction: a model for each weight mode, stopped early on valid, then fitted again on
+    train and valid with the rounds it took, saved under folder and loaded for scoring."""
+    parts = []
+    for mode in modes:
+        first = fit_raw(train, names, weights=mode, trees=trees, valid=valid)
+        save_model(refit(first, train.unionByName(valid), names, weights=mode), f"{folder}/{mode}")
+        parts.append(predict(load_model(f"{folder}/{mode}"), score, names).withColumn("weight_mode", F.lit(mode)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def fit_linear(df: DataFrame, names: list[str], family: str = "poisson") -> Model:

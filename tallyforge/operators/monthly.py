@@ -6,24 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.config import DEFAULTS, EngineConfig
-from tallyforge.operators.cubes import dictionary_codes, grain_months, month_start
+from tallyforge.operators.cubes import grain_cubes, month_start, value_codes
+from tallyforge.sources.tables import settled
 
 BLOCKS = ("item", "location", "events", "category", "brand")
 LAGS = (1, 2, 3, 4, 5, 6)
 
 
-def for_targets(cube: DataFrame, targets: list[int]) -> DataFrame:
-    """Each cube row once for every target month after it, as column t. Targets are a short literal list."""
-    ahead = F.filter(F.array(*(F.lit(t) for t in targets)), lambda t: t > F.col("m"))
+def for_targets(cube: DataFrame, targets: list[int], same_month: bool = False) -> DataFrame:
+    """Each cube row once for every target month after it (and its own, if that is one and same_month is set), as column
+    t. Targets are a short literal list."""
+    ahead = F.filter(F.array(*(F.lit(t) for t in targets)), lambda t: t >= F.col("m") if same_month else t > F.col("m"))
     return cube.withColumn("t", F.explode(ahead))
 
 
 Series = dict[str, tuple[str, bool]]
 
 
-def series_base(cube: DataFrame, keys: list[str], series: Series, targets: list[int]) -> DataFrame:
+def series_base(cube: DataFrame, keys: list[str], series: Series, targets: list[int], more: tuple[str, ...] = ()) -> DataFrame:
     """The sums from which a block of features is made, one row per entity and target: the last six months of each
-    series (prefix -> (value column, full)), and for a full one its last month with sales and their number.
+    series (prefix -> (value column, full)), and for a full one its last month with sales and their number. more has
+    further aggregates, which see the target month's rows too.
 
     Months without a row are zeros (conditional sums, no spine). What is joined later are these few columns; all
     features come out of one projection at the end."""
@@ -32,14 +35,19 @@ def series_base(cube: DataFrame, keys: list[str], series: Series, targets: list[
         v = f"cast({value} as double)"
         aggs += [f"coalesce(sum(case when t - m = {k} then {v} end), 0D) as {prefix}__{k}" for k in LAGS]
         if full:
-            aggs += [f"max(case when {v} > 0 then m end) as {prefix}__last", f"count_if({v} > 0) as {prefix}__n"]
-    return for_targets(cube, targets).groupBy(*keys, "t").agg(*map(F.expr, aggs))
+            aggs += [f"max(case when m < t and {v} > 0 then m end) as {prefix}__last", f"count_if(m < t and {v} > 0) as {prefix}__n"]
+    return for_targets(cube, targets, bool(more)).groupBy(*keys, "t").agg(*map(F.expr, [*aggs, *more]))
 
 
 def lag(prefix: str, k: int) -> str:
     return f"coalesce({prefix}__{k}, 0D)"
 
 
+def over(a: str, b: str) -> str:
+    """a / (b + 1); 0 where b is -1, as after returns."""
+    return f"coalesce(try_divide({a}, {b} + 1), 0D)"
+
+
 def mean3(prefix: str) -> str:
     return f"(({lag(prefix, 3)} + {lag(prefix, 2)} + {lag(prefix, 1)}) / 3)"
 
@@ -62,7 +70,7 @@ def series_columns(series: Series, start: int) -> dict[str, str]:
                 f"{p}_roll_max_3": f"greatest({a}, {b}, {c})", f"{p}_roll_min_3": f"least({a}, {b}, {c})",
                 f"{p}_months_since_last_sale": f"coalesce(cast(t - 1 - {p}__last as bigint), {months})",
                 f"{p}_number_of_sale_months": n, f"{p}_zero_sale_months": f"{months} - {n}", f"{p}_trend_3": f"{a} - {c}",
-                f"{p}_growth_ratio": f"{a} / ({b} + 1)", f"{p}_lag1_to_roll3": f"{a} / ({m} + 1)",
+                f"{p}_growth_ratio": over(a, b), f"{p}_lag1_to_roll3": over(a, m),
             }
     return out
 
@@ -86,11 +94,17 @@ def weighted_baseline() -> str:
     return f"greatest(case when {pair} > 0 then {pair} else {item} * 0.7D + {place} * 0.3D end, 0D)"
 
 
+def pair_event_columns() -> dict[str, str]:
+    """Ratios of the pair's own views and cart events, where events have a location."""
+    view, cart, sold = mean3("li_view"), mean3("li_atc"), mean3("li_qty")
+    return {"li_atc_per_view": over(cart, view), "li_purchase_per_view": over(sold, view), "li_purchase_per_atc": over(sold, cart)}
+
+
 def conversion_columns() -> dict[str, str]:
     view, cart, sold = "view_item", "add_to_cart", "item_qty"
     return {
-        "atc_to_view_lag1": f"{lag(cart, 1)} / ({lag(view, 1)} + 1)", "purchase_to_atc_lag1": f"{lag(sold, 1)} / ({lag(cart, 1)} + 1)",
-        "atc_to_view_roll3": f"{mean3(cart)} / ({mean3(view)} + 1)", "purchase_to_atc_roll3": f"{mean3(sold)} / ({mean3(cart)} + 1)",
+        "atc_to_view_lag1": over(lag(cart, 1), lag(view, 1)), "purchase_to_atc_lag1": over(lag(sold, 1), lag(cart, 1)),
+        "atc_to_view_roll3": over(mean3(cart), mean3(view)), "purchase_to_atc_roll3": over(mean3(sold), mean3(cart)),
     }
 
 
@@ -99,7 +113,7 @@ def event_columns() -> dict[str, str]:
     view, cart, sold, out = mean3("view_item"), mean3("add_to_cart"), mean3("item_qty"), {}
     for k in (1, 2, 3):
         out |= {f"item_view_lag{k}": lag("view_item", k), f"item_atc_lag{k}": lag("add_to_cart", k)}
-    ratios = {"atc_per_view": f"{cart} / ({view} + 1)", "purchase_per_view": f"{sold} / ({view} + 1)", "purchase_per_atc": f"{sold} / ({cart} + 1)"}
+    ratios = {"atc_per_view": over(cart, view), "purchase_per_view": over(sold, view), "purchase_per_atc": over(sold, cart)}
     return out | {"item_view_roll3": view, "item_atc_roll3": cart} | {f"item_{n}": r for n, r in ratios.items()} | ratios
 
 
@@ -134,37 +148,50 @@ def with_status(cube: DataFrame, items: DataFrame) -> DataFrame:
 def monthly_frame(cube: DataFrame, events: DataFrame, items: DataFrame, targets: list[int], start: int, label: bool = True, config: EngineConfig = DEFAULTS, codes: bool = True, blocks: tuple[str, ...] = BLOCKS) -> DataFrame:
     """The feature table of all targets: a row for each pair with sales before the target and target month t.
 
-    cube is the pair cube from start to the last target, events the item's event cube. Every grain is
-    aggregated once for all targets; item, location, category and brand blocks are joined to the pairs. blocks
+    cube is the pair cube from start to the last target, events the event cube of items, or of pairs: then config.event_features
+    also gives the pair's own event block. The cube with its metadata is written once; pairs, series and labels are one
+    aggregation of it, all other grains one pass of grouping sets, and a grain's codes come with its sums. blocks
     names those a consumer needs: an outer join is not pruned by itself when its columns are.
     """
-    sold = with_status(cube, items)
-    history = sold.where(F.col("m") < max(targets))
-    pairs = for_targets(history, targets).groupBy("location", "item_id", "category", "brand", "t").agg(F.sum("qty").alias("__seen")).where(F.col("__seen") > 0).drop("__seen")
+    sold = settled(with_status(cube, items))
     full, short = True, False
     series: Series = {"li_qty": ("qty", full), "li_rev": ("rev", short)}
-    frame = pairs.join(series_base(history, ["location", "item_id"], series, targets), ["location", "item_id", "t"])
+    more = ["sum(case when m < t then qty end) as __seen"]
+    more += ["cast(sum(case when m = t then qty end) as double) as __y", "cast(sum(case when m = t then rev end) as double) as __r"] * label
+    frame = series_base(sold, ["location", "item_id", "category", "brand"], series, targets, tuple(more)).where("__seen > 0").drop("__seen")
     counts = events.groupBy("item_id", "m").agg(F.sum("view_count").alias("view_count"), F.sum("atc_count").alias("atc_count"))
     parts = {
-        "item": ("item_id", None, {"item_qty": ("qty", full), "item_rev": ("rev", short), "item_active_locs": ("active", short)}),
-        "location": ("location", None, {"loc_qty": ("qty", full), "loc_rev": ("rev", short), "loc_active_items": ("active", short)}),
-        "events": ("item_id", counts, {"view_item": ("view_count", short), "add_to_cart": ("atc_count", short)}),
-        "category": ("category", None, {"cat_qty": ("qty", full)}),
-        "brand": ("brand", None, {"brand_qty": ("qty", full)}),
+        "item": (["item_id"], None, {"item_qty": ("qty", full), "item_rev": ("rev", short), "item_active_locs": ("active", short)}),
+        "location": (["location"], None, {"loc_qty": ("qty", full), "loc_rev": ("rev", short), "loc_active_items": ("active", short)}),
+        "events": (["item_id"], counts, {"view_item": ("view_count", short), "add_to_cart": ("atc_count", short)}),
+        "category": (["category"], None, {"cat_qty": ("qty", full)}),
+        "brand": (["brand"], None, {"brand_qty": ("qty", full)}),
+        "pair_events": (["location", "item_id"], events, {"li_view": ("view_count", short), "li_atc": ("atc_count", short)}),
     }
-    for block in blocks:
-        key, source, own = parts[block]
-        base = series_base(grain_months(history, key) if source is None else source, [key], own, targets)
-        frame, series = frame.join(base, [key, "t"], "left"), series | own
+    if config.event_features and "events" in blocks and "location" in events.columns:
+        blocks = (*blocks, "pair_events")
+    named = {"location": "location_code", "item_id": "item_code", "category": "category_code", "brand": "brand_code"} if codes else {}
+    grains = [k for k, block in (("item_id", "item"), ("location", "location"), ("category", "category"), ("brand", "brand")) if block in blocks or codes]
+    wide = settled(grain_cubes(sold, grains)) if grains else sold
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.col(k).cast("string").alias("value")) for k in grains)))
+    coded = value_codes(wide.select(each.alias("x")).select("x.*")) if codes else None
     columns = {c: c for c in ("location", "item_id", "category", "brand", "t")} | {"target_month_idx": f"t - {start} + 1"}
-    if codes:
-        for key, code in (("location", "location_code"), ("item_id", "item_code"), ("category", "category_code"), ("brand", "brand_code")):
-            frame = frame.join(dictionary_codes(sold.select(F.col(key)), key, code), key)
-            columns[code] = code
+    code_of = {k: coded.where(F.col("field") == k).select(F.col("value").cast(wide.schema[k].dataType).alias(k), F.col("code").alias(n)) for k, n in named.items()}
+    for block in blocks:
+        keys, source, own = parts[block]
+        base = series_base(wide.where(F.col(keys[0]).isNotNull()) if source is None else source, keys, own, targets)
+        if source is None and keys[0] in code_of:
+            base = base.join(code_of.pop(keys[0]), keys)
+        frame, series = frame.join(base, [*keys, "t"], "left"), series | own
+    for key, codes_of_key in code_of.items():
+        frame = frame.join(codes_of_key, key)
+    columns |= {n: n for n in named.values()}
     turn = f"((t - 1) % 12 + 1) * {2 * math.pi / 12!r}D"
     columns |= {"month_sin": f"sin({turn})", "month_cos": f"cos({turn})"} | series_columns(series, start)
     if {"item", "events"} <= {*blocks}:
         columns |= conversion_columns() | (event_columns() if config.event_features else {})
+    if "pair_events" in blocks:
+        columns |= pair_event_columns()
     if config.calendar_features:
         small = frame.sparkSession.createDataFrame(new_year_rows(targets, config), "t int, days_to_tet double, is_pre_tet_60d int, is_pre_tet_45d int, is_pre_tet_30d int, is_tet_month int, is_post_tet_30d int")
         frame = frame.join(F.broadcast(small), "t")  # a row per target
@@ -173,7 +200,5 @@ def monthly_frame(cube: DataFrame, events: DataFrame, items: DataFrame, targets:
     if {"item", "location"} <= {*blocks}:
         columns["baseline_weighted"] = weighted_baseline()
     if label:
-        truth = sold.where(F.col("m").isin(targets)).select("location", "item_id", F.col("m").alias("t"), F.col("qty").cast("double").alias("__y"), F.col("rev").cast("double").alias("__r"))
-        frame = frame.join(truth, ["location", "item_id", "t"], "left")
         columns |= {"target": "coalesce(__y, 0D)", "target_revenue": "coalesce(__r, 0D)"}
     return frame.selectExpr(*(f"{e} as `{n}`" for n, e in columns.items()))

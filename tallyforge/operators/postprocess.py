@@ -37,7 +37,14 @@ def refill_from_carts(predictions: DataFrame, engagement: DataFrame, horizon: in
     return rows.withColumn("prediction", F.when(hit, refill).otherwise(F.col("prediction"))).select(*predictions.columns)
 
 
+def count_floored(predictions: DataFrame, floor: float = 0.5) -> DataFrame:
+    """How many predictions the floor takes: above 0 and below it."""
+    p = F.col("prediction")
+    return predictions.agg(F.count_if((p > 0) & (p < floor)).alias("n_floored"))
+
+
 def apply_scales(predictions: DataFrame, scales: DataFrame, group: str) -> DataFrame:
-    """Multiplies by the group's scale; scales is a small table, one row per group."""
-    rows = predictions.join(F.broadcast(scales.select(group, "group_scale")), group, "left")  # a row per group
-    return rows.withColumn("prediction", F.greatest(F.col("prediction") * F.coalesce("group_scale", F.lit(1.0)), F.lit(0.0))).drop("group_scale")
+    """location, item_id, prediction: multiplied by the scale of the row's group; scales has a row per group, a group without
+    one keeps its predictions. How the join is done is left to Spark's size rules."""
+    rows = predictions.join(scales.select(group, "group_scale"), group, "left")
+    return rows.select(*PAIR, F.greatest(F.col("prediction") * F.coalesce("group_scale", F.lit(1.0)), F.lit(0.0)).alias("prediction"))

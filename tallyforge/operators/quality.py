@@ -54,18 +54,51 @@ def check_output(df: DataFrame, items: DataFrame | None = None, wanted: tuple[st
     return rows
 
 
+def check_many(outputs: dict[str, DataFrame | None], fallbacks: dict[str, str], items: DataFrame | None = None) -> DataFrame:
+    """check_output of several candidate outputs: output, checked, check, n. One that is absent (None) is replaced by its
+    fallback, if it has one, and else has a row "missing" with 1."""
+    parts = []
+    for name, df in outputs.items():
+        used = name if df is not None else fallbacks.get(name)
+        found = outputs.get(used) if used else None
+        if found is None:
+            spark = next(d for d in outputs.values() if d is not None).sparkSession
+            rows = spark.createDataFrame([("missing", 1)], "check string, n bigint")
+        else:
+            rows = check_output(found, items)
+        parts.append(rows.select(F.lit(name).alias("output"), F.lit(used if found is not None else "").alias("checked"), "check", F.col("n").cast("bigint").alias("n")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def column_hints(columns: list[str], wanted: tuple[str, ...] = ("location", "item_id", "prediction")) -> list[str]:
+    """What is wrong with an output's columns, in words: order, index columns, an older name of the prediction, missing keys."""
+    hints = [] if list(columns) == list(wanted) else [f"columns must be {list(wanted)}, are {list(columns)}"]
+    hints += [f"index column: {c}" for c in columns if c.startswith("Unnamed:")]
+    if wanted[-1] not in columns:
+        old = next((c for c in OLD_NAMES if c in columns), None)
+        hints.append(f"rename {old} to {wanted[-1]}" if old else f"no column {wanted[-1]}")
+    return hints + [f"no column {c}" for c in wanted[:-1] if c not in columns]
+
+
+#: Earlier names of the prediction column.
+OLD_NAMES = ("quantity", "quantity_pred", "pred", "prediction_blend", "sales")
+
+
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1)
 
 
 def normalise_output(df: DataFrame) -> DataFrame:
     """Any earlier form of an output table in the contract's: older names of the prediction, index columns dropped,
-    kinds cast (unreadable numbers 0), negatives 0, one row per key (the largest prediction)."""
-    for old in ("quantity", "pred", "prediction_blend", "sales"):
+    kinds cast (unreadable numbers 0), negatives 0, one row per key: the first, as the rows are read."""
+    for old in OLD_NAMES:
         if old in df.columns and "prediction" not in df.columns:
             df = df.withColumnRenamed(old, "prediction")
     df = df.drop(*(c for c in df.columns if c.startswith("Unnamed") or c == "index"))
     p = F.col("prediction").try_cast("double")
     clean = F.greatest(F.coalesce(F.nanvl(p, F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
-    read = df.select(F.col("location").try_cast("bigint").alias("location"), F.col("item_id").cast("string").alias("item_id"), clean.alias("prediction"))
-    return read.groupBy("location", "item_id").agg(F.max("prediction").alias("prediction"))
+    read = df.select(F.col("location").try_cast("bigint").alias("location"), F.col("item_id").cast("string").alias("item_id"), clean.alias("prediction"), F.monotonically_increasing_id().alias("__at"))
+    return read.groupBy("location", "item_id").agg(F.min_by("prediction", "__at").alias("prediction"))

@@ -8,6 +8,7 @@ from tallyforge.operators.feature_table import EPOCH, MOST_TYPES, feature_table
 from tallyforge.operators.orphans import OrphanState, replay
 from tallyforge.operators.rolling import rolling_totals
 from tallyforge.operators.skew import salted_aggregate
+from tallyforge.plans.value_sql import item_sql, price_sql, type_sql
 from tallyforge.sources.tables import table, with_position
 
 
@@ -94,20 +95,6 @@ def p5_locations(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_features, p1_cells, p3_rolling, p4_found, p4_report, p5_found, p5_items, p5_locations)}
 
 
-def item_sql(c: str = "item_id") -> str:
-    exponent = f"cast(cast(try_cast(regexp_extract({c}, '[0-9.]+[eE][+-]?[0-9]+') as double) as hugeint) as varchar)"
-    plain = f"regexp_replace(regexp_replace(regexp_extract({c}, '[0-9][0-9.,]*'), '[.,][0-9]{{1,2}}$', ''), '[^0-9]', '', 'g')"
-    return f"(case when {c} is null or not regexp_matches({c}, '[0-9]') then null when regexp_matches({c}, '[0-9][eE][+-]?[0-9]') then {exponent} else coalesce(nullif(ltrim({plain}, '0'), ''), '0') end)"
-
-
-def price_sql(c: str = "price") -> str:
-    return f"(case when regexp_matches({c}, '-[^0-9A-Za-z]*[0-9]') then -1 else 1 end * cast({item_sql(c)} as bigint))"
-
-
-def type_sql(c: str = "event_type") -> str:
-    return f"trim(regexp_replace(lower({c}), '[^0-9a-z]+', '_', 'g'), '_')"
-
-
 PAIRS = f"(select case when location >= 0 then location end as location, {item_sql()} as item_id, cast(updated_date as date) as day, quantity from transaction_full_2025)"
 
 

@@ -38,3 +38,28 @@ def test_models(spark):
     assert error(MO.two_stage(df, df, names, trees=3)) < 1
     assert MO.importance(spark, log, names).first().feature == "a"
     assert MO.predict(MO.fit_linear(df, names), df.drop("b"), names).count() == 400
+
+
+def test_early_stop_refit_and_files(spark, tmp_path):
+    df = spark.range(300).select((F.col("id") % 5).cast("int").alias("location"), F.col("id").cast("string").alias("item_id"), F.lit(1).alias("t"), (F.col("id") % 7).cast("double").alias("a"))
+    df = df.withColumn("target", F.when(F.col("a") < 2, 0.0).otherwise(F.col("a") * 2))
+    first = MO.fit_raw(df.where("location < 4"), ["a"], trees=15, valid=df.where("location = 4"))
+    assert 1 <= first.getNumTrees <= 15
+    again = MO.refit(first, df, ["a"], least=3)
+    assert again.getNumTrees == max(3, first.getNumTrees)
+    MO.save_model(again, f"{tmp_path}/m")
+    rows = lambda m: sorted(map(tuple, MO.predict(m, df, ["a"]).collect()))
+    assert rows(MO.load_model(f"{tmp_path}/m")) == rows(again)
+    out = MO.weighted_finals(df.where("location < 4"), df.where("location = 4"), df, ["a"], str(tmp_path), ("none", "inv_y"), trees=3)
+    assert {r.weight_mode: r.n for r in out.groupBy("weight_mode").agg(F.count(F.lit(1)).alias("n")).collect()} == {"none": 300, "inv_y": 300}
+    assert MO.alignment(["a", "b"], ["b", "c"]) == ["missing in scoring: a", "unknown to the model: c"]
+
+
+def test_scratch_tables_are_released(spark, tmp_path):
+    from tallyforge.sources import tables as T
+
+    df = T.settled(spark.range(5))
+    path = T._scratch[-1]
+    assert df.count() == 5 and T.exists(spark, path)
+    T.release(spark)
+    assert not T.exists(spark, path) and not T._scratch

@@ -2,19 +2,21 @@
 
 import pytest
 from pyspark.sql import functions as F
-from test_entry import FOLDER, duck, plain, same  # noqa: F401
+from test_entry import FOLDER
 
+from tallyforge.operators import cubes as C
 from tallyforge.operators import models as MO
+from tallyforge.operators import monthly as M
 from tallyforge.operators import skew
+from tallyforge.operators import windows as W
 from tallyforge.plans import data_queries as DQ
 from tallyforge.plans import demand_queries as Q
-from tallyforge.plans import demand_sql as SQL
 
 
 def test_models_train_on_all_months_and_features(spark):
     train, score, names = Q._models(spark, FOLDER)
-    assert [r.t for r in train.select("t").distinct().orderBy("t").collect()] == list(range(Q.START + 3, Q.TARGET))
-    assert [r.t for r in score.select("t").distinct().collect()] == [Q.TARGET]
+    assert [r.t for r in train.select("t").distinct().orderBy("t").collect()] == list(range(Q.STAR.start + 3, Q.STAR.target))
+    assert [r.t for r in score.select("t").distinct().collect()] == [Q.STAR.target]
     assert names == MO.feature_names(train) and len(names) == 136
     assert {"item_rev_lag1", "view_item_lag1", "cat_qty_lag1", "brand_qty_lag1", "month_sin", "atc_to_view_lag1", "item_code"} <= {*names}
 
@@ -28,23 +30,34 @@ def test_models_have_the_default_trees(spark, monkeypatch):
     assert seen == [20, 20, 10, 10, 20]
 
 
-@pytest.mark.parametrize("name,short", [("training_frames_all_months", "training_frames_multi_target"), *((f"{n}_all_months", n) for n in ("sample_counts", "sample_weights", "sampling_diagnostic"))])
-def test_all_months(spark, duck, name, short):  # noqa: F811
-    months = list(range(Q.START + 3, Q.TARGET + 1))
+@pytest.mark.parametrize("name", ["training_frames_multi_target", "sample_weights", "sampling_diagnostic", "sample_month_counts", "training_frames_multi_target_2025"])
+def test_all_months(spark, name):
+    schema = Q.PURCHASES if name.endswith("_2025") else Q.STAR
+    months = {r.t for r in Q.QUERIES[name](spark, FOLDER).select("t").distinct().collect()}
+    assert months == set(range(schema.start + 3, schema.target + 1)) and len(months) == 9
+
+
+@pytest.mark.parametrize("name,tables", [("classic_features", {"lineitem": 1}), ("monthly_features", {"lineitem": 1, "part": 1})])
+def test_fact_tables_are_read_once(spark, monkeypatch, name, tables):
+    """Whatever a query writes and returns: how often its plans scan a table."""
+    plans, write = [], Q.settled
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    for module in (Q, M, W, C):
+        if hasattr(module, "settled"):
+            monkeypatch.setattr(module, "settled", seen)
     df = Q.QUERIES[name](spark, FOLDER)
-    columns = sorted(df.columns)
-    sql = SQL.SQL[short].replace(SQL.MULTI, f"{SQL.CUBE}, {SQL.frame(months)}")
-    assert sql != SQL.SQL[short]
-    result = duck.execute(sql)
-    names = [x[0] for x in result.description]
-    want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall()), key=repr)
-    rows = sorted((tuple(map(plain, r)) for r in df.select(*columns).collect()), key=repr)
-    assert sorted(names) == columns and len(rows) == len(want)
-    assert all(same(x, y) for r, s in zip(rows, want) for x, y in zip(r, s))
+    plans.append(df._jdf.queryExecution().executedPlan().toString())
+    scans = "\n".join(plans)
+    for t, n in tables.items():
+        assert scans.count(f"{t}.parquet") == n
 
 
 def test_samples_take_all_months(spark):
-    months = set(range(Q.START + 3, Q.TARGET + 1))
+    months = set(range(Q.STAR.start + 3, Q.STAR.target + 1))
     for name in ("sample_positive_first", "sample_negative_ratio"):
         assert {r.t for r in Q.QUERIES[name](spark, FOLDER).select("t").distinct().collect()} == months
 
