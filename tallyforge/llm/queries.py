@@ -8,7 +8,7 @@ from tallyforge.llm.lookalike import fingerprints, lookalike_classes, lookalike_
 from tallyforge.llm.mixture import mixture, reached_shares
 from tallyforge.llm.tokens import encode_corpus, token_counts
 from tallyforge.llm.topn import best_rows, salted_top_n
-from tallyforge.plans.data_queries import item_sql, price_sql
+from tallyforge.plans.value_sql import item_sql, price_sql
 from tallyforge.sources.tables import settled, table
 
 TOP = 5
