@@ -10,6 +10,8 @@ from tallyforge.sources.tables import settled
 EDGE = 1e-9
 #: Rows of the target table that the driver reads; a longer one is refused.
 MOST_SOURCES = 10_000
+#: Blocks that a task flies one after the other.
+BLOCKS_PER_TASK = 4
 
 
 def _step(p: np.ndarray, at: np.ndarray, u: np.ndarray, rng: np.random.Generator) -> None:
@@ -138,6 +140,8 @@ def mixture(
         last = all(n == 1 for n in blocks.values())
         placed = state.join(F.broadcast(size), "source").withColumn("block", F.pmod(F.xxhash64("doc_id", "n_tokens", F.lit(level)), F.col("__blocks")).cast("int")).drop("__blocks")
 
+        # the number of tasks follows the blocks: by bytes, few small rows would all fly in one
+        placed = placed.repartition(max(1, -(-sum(blocks.values()) // BLOCKS_PER_TASK)), "source", "block")
         flown = placed.groupBy("source", "block").applyInPandas(_flier(seed, level, last), "doc_id bigint, source string, n_tokens bigint, __whole int, p double")
         if last:
             done.append(flown)

@@ -2,7 +2,7 @@
 
 import base64
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -10,7 +10,7 @@ import pyarrow as pa
 import tiktoken
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FOLDER, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k"
@@ -27,18 +27,39 @@ REMEMBERED = 200_000
 GEAR = np.frombuffer(b"".join(xxhash.xxh3_64_digest(bytes([b]), 7) for b in range(256)), ">u8").astype(np.uint32)
 SPACE = np.zeros(256, bool)
 SPACE[list(b"\t\n\r ")] = True
-VISIBLE = np.zeros(256, bool)
-VISIBLE[0x21:0x7F] = True
+#: ASCII that isn't white space to the pattern.
+SOLID = np.zeros(256, bool)
+SOLID[:0x80] = True
+SOLID[list(b"\t\n\v\f\r ")] = False
+#: The largest vocabulary file that is sent to the tasks.
+MOST_BYTES = 64 << 20
 
 
 @functools.lru_cache(4)
-def encoder(folder: str = FOLDER, vocabulary: str = VOCABULARY) -> tiktoken.Encoding:
-    """The tokenizer, loaded once per Python worker. No special tokens: their names are ordinary text."""
-    lines = Path(folder, f"{vocabulary}.tiktoken").read_bytes().splitlines()
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+def _parsed(data: bytes, vocabulary: str) -> tiktoken.Encoding:
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
     return tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _file(folder: str, vocabulary: str) -> bytes:
+    data = Path(folder, f"{vocabulary}.tiktoken").read_bytes()
+    if len(data) > MOST_BYTES:
+        raise ValueError(f"the vocabulary has more than {MOST_BYTES} bytes")
+    return data
+
+
+def encoder(folder: str = FOLDER, vocabulary: str = VOCABULARY) -> tiktoken.Encoding:
+    """The tokenizer. No special tokens: their names are ordinary text."""
+    return _parsed(_file(folder, vocabulary), vocabulary)
+
+
+def shipped_encoder(spark: SparkSession, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> Callable[[], tiktoken.Encoding]:
+    """The tokenizer for tasks: only the driver needs the file, whose bytes (MOST_BYTES at most) are broadcast; each Python worker
+    parses them once."""
+    sent = spark.sparkContext.broadcast(_file(folder, vocabulary))
+    return lambda: _parsed(sent.value, vocabulary)
+
+
 def rolling_hash(data: np.ndarray) -> np.ndarray:
     """A gear hash of the WINDOW bytes that end at each place, by doubling: sum of GEAR[byte] << distance, mod 2**32."""
     h, width = GEAR[data], 1
@@ -49,10 +70,37 @@ def rolling_hash(data: np.ndarray) -> np.ndarray:
 
 
 def joins(data: np.ndarray) -> np.ndarray:
-    """Places where texts may be joined without changing ids: a visible ASCII character before, ASCII white space
-    after. No pre-token spans such a place, and the pattern looks ahead only from white space, so what stands on
-    either side is encoded alike with or without the other side."""
-    return np.flatnonzero(VISIBLE[data[:-1]] & SPACE[data[1:]]) + 1
+    """Places where texts may be joined without changing ids, in text of any script.
+
+    Before ASCII white space, after any character that isn't white space to the pattern: no pre-token spans such a place,
+    and the pattern looks ahead only from white space, so what stands on either side is encoded alike with or without the
+    other side. And between an ideograph or kana letter and an ideographic comma, stop or mark: a run of letters ends there, and a
+    pre-token of marks that has no letter before it starts there."""
+    n = len(data)
+    if n < 2:
+        return np.zeros(0, np.int64)
+    a = data[:-1]
+    solid = SOLID[a]
+    wide = np.flatnonzero(a >= 0x80)
+    if len(wide):
+        third, second, first = a[wide], a[wide - 1], a[wide - 2]  # a text's first bytes are never the ends of wide characters
+        blank = (second == 0xC2) & ((third == 0x85) | (third == 0xA0))
+        blank |= (first == 0xE1) & (second == 0x9A) & (third == 0x80)
+        blank |= (first == 0xE2) & (second == 0x80) & ((third <= 0x8A) | (third == 0xA8) | (third == 0xA9) | (third == 0xAF))
+        blank |= (first == 0xE2) & (second == 0x81) & (third == 0x9F)
+        blank |= (first == 0xE3) & (second == 0x80) & (third == 0x80)
+        solid[wide] = ~blank
+    safe = solid & SPACE[data[1:]]
+    at = np.flatnonzero((data[1:] == 0xE3) | (data[1:] == 0xEF)) + 1
+    at = at[(at >= 3) & (at + 2 < n)]
+    if len(at):
+        lead, mid, last = data[at], data[at + 1], data[at + 2]
+        mark = (lead == 0xE3) & (mid == 0x80) & ((last == 0x81) | (last == 0x82))
+        mark |= (lead == 0xEF) & (mid == 0xBC) & ((last == 0x81) | (last == 0x8C) | (last == 0x9F))
+        x, y, z = data[at - 3], data[at - 2], data[at - 1]
+        letter = ((x >= 0xE5) & (x <= 0xE8) & (y >= 0x80)) | ((x == 0xE4) & (y >= 0xB8)) | ((x == 0xE3) & ((y == 0x81) & (z >= 0x81) | (y == 0x82) & (z <= 0x96) | (y == 0x82) & (z >= 0xA1) | (y == 0x83) & (z <= 0xBA)))
+        safe[at[mark & letter] - 1] = True
+    return np.flatnonzero(safe) + 1
 
 
 def chunk_cuts(data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, int]]]:
@@ -86,11 +134,11 @@ def chunk_cuts(data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, in
     return out
 
 
-def _split(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch], load: Callable[[], tiktoken.Encoding]) -> Iterator[pa.RecordBatch]:
     """Rows of chunks: row (a number of the document's row), doc_id, pos, key, place and, at the first of each key and
     place in a task, the chunk's bytes. The join after a chunk is repaired here: seam has the ids of its text encoded
     anew, drop_last and drop_first say how many ids of the chunks on either side they replace."""
-    part, row, seen, tokenizer = TaskContext.get().partitionId(), 0, {}, encoder(folder, vocabulary)
+    part, row, seen, tokenizer = TaskContext.get().partitionId(), 0, {}, load()
     kind = np.uint16 if tokenizer.max_token_value < 1 << 16 else np.int32
     for batch in batches:
         texts = pa.concat_arrays([batch.column("text").fill_null("").cast(pa.large_string())])
@@ -124,9 +172,9 @@ def _split(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str) -> I
         yield pa.RecordBatch.from_arrays([*arrays, arrays[5].is_null()], names=["row", "doc_id", "pos", "key", "place", "chunk", "drop_first", "drop_last", "seam", "again"])
 
 
-def _encode(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], load: Callable[[], tiktoken.Encoding]) -> Iterator[pa.RecordBatch]:
     """Sorted by key and place, with the chunk in the first row of each: every key and place is encoded once."""
-    tokenizer = encoder(folder, vocabulary)
+    tokenizer = load()
     kind = np.uint16 if tokenizer.max_token_value < 1 << 16 else np.int32
     at, ids = None, b""
     for batch in batches:
@@ -185,9 +233,10 @@ def encode_corpus(documents: DataFrame, folder: str = FOLDER, vocabulary: str =
     table gives no rows. Text columns of any length are encoded whole.
     """
     kind = "uint16" if encoder(folder, vocabulary).max_token_value < 1 << 16 else "int32"
-    pieces = documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lambda b: _split(b, folder, vocabulary), "row bigint, doc_id bigint, pos int, key binary, place int, chunk binary, drop_first int, drop_last int, seam binary, again boolean")
+    load = shipped_encoder(documents.sparkSession, folder, vocabulary)
+    pieces = documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lambda b: _split(b, load), "row bigint, doc_id bigint, pos int, key binary, place int, chunk binary, drop_first int, drop_last int, seam binary, again boolean")
     grouped = pieces.repartition("key", "place").sortWithinPartitions("key", "place", "again")
-    encoded = grouped.mapInArrow(lambda b: _encode(b, folder, vocabulary), "row bigint, doc_id bigint, pos int, drop_first int, drop_last int, seam binary, ids binary")
+    encoded = grouped.mapInArrow(lambda b: _encode(b, load), "row bigint, doc_id bigint, pos int, drop_first int, drop_last int, seam binary, ids binary")
     together = encoded.repartition("row").sortWithinPartitions("row", "pos")
     return together.mapInArrow(lambda b: _assemble(b, kind), "doc_id bigint, ids array<int>")
 
@@ -195,8 +244,10 @@ def encode_corpus(documents: DataFrame, folder: str = FOLDER, vocabulary: str =
 def token_counts(documents: DataFrame, columns: list[str], folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
     """The named columns and n_tokens, the number of token ids of the whole text: 0 for empty and null text. No shuffle."""
 
+    load = shipped_encoder(documents.sparkSession, folder, vocabulary)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = encoder(folder, vocabulary)
+        tokenizer = load()
         for batch in batches:
             n = [len(tokenizer.encode_ordinary(t)) if t else 0 for t in batch.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=[*columns, "n_tokens"])

@@ -32,6 +32,24 @@ def test_skeleton_is_stable():
         assert L.skeleton(form) == form and L.skeleton(unicodedata.normalize("NFC", text)) == form
 
 
+MORE = [("αγρυ", "aypu"), ("ꓐꓢ", "BS"), ("Ⲟ", "O"), ("ᗷ", "B"), ("ⲟ", "o"), ("Ѵ", "V"), ("к", "κ"), ("Г", "Γ"), ("г", "r")]
+APART = [*DIFFER, ("Ь", "b"), ("З", "3"), ("б", "6"), ("I", "l"), ("О", "0"), ("𝐀", "A"), ("Ⅳ", "IV"), ("ɑ", "a"), ("ƨ", "2"), ("Ꮟ", "b"), ("m", "rn"), ("м", "м́")]
+
+
+def test_public_table(spark):
+    table = L._Table(L.look_alike_table(spark))
+    for a, b in [*SAME, *MORE]:
+        assert L.skeleton(a, table) == L.skeleton(b, table), (a, b)
+    for a, b in APART:
+        assert L.skeleton(a, table) != L.skeleton(b, table), (a, b)
+    assert len(table) > 1000 and not any(o < 0x80 and chr(o).isprintable() for o in L.look_alike_table(spark))
+    plain = L.look_alike_table(spark)
+    assert all(plain.get(ord(x), x) == x for form in plain.values() for x in form)  # what comes out stays
+    for o, form in plain.items():  # capital with capital, small with small
+        if form.isascii() and form.isalpha() and unicodedata.category(chr(o)) in ("Lu", "Ll"):
+            assert form.isupper() == (unicodedata.category(chr(o)) == "Lu"), (chr(o), form)
+
+
 def variants(text, r):
     swap = {a: b for many, plain in L.SAME_SHAPE for b, a in zip(many, plain)}
     return "".join(swap.get(c, c) if r.random() < 0.3 else c + r.choice(["", "", "​"]) for c in text)
@@ -57,6 +75,17 @@ def test_large_spelling_is_joined_in_parts(spark, monkeypatch):
     assert got == {(i, v) for i in range(500) for v in (1000, 1001)} | {(1000, 1001)}
 
 
+def test_form_of_many_spellings_is_joined_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(L, "PER_FORM", 5)
+    monkeypatch.setattr(L, "PER_SLOT", 3)
+    rows = [(i, "wait" + "\u200b" * i + " here") for i in range(40)] + [(100 + i, "wait here") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    members = L.lookalike_classes(L.fingerprints(df))
+    assert {r.slices for r in members.collect()} == {8} and members.count() == 50
+    got = sorted(tuple(r) for r in L.lookalike_pairs(df).collect())
+    assert got == sorted((min(a, b), max(a, b)) for (a, s), (b, t) in itertools.combinations(rows, 2) if s != t)
+
+
 def test_forms_and_empty(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "Ｈi")], "doc_id bigint, text string")
     assert {tuple(r) for r in L.normalised(df, ["doc_id"]).collect()} == {(1, None), (2, ""), (3, "Hi")}

@@ -70,3 +70,13 @@ def test_mixture_edges(spark):
     assert len(nothing) == 4 and all(r.reached_share is None for r in nothing)
     zero = spark.createDataFrame([(1, "hot", 0)], "doc_id bigint, source string, n_tokens bigint")
     assert [r.copies for r in mixture(zero, targets).collect()] == [0]
+
+
+def test_blocks_fly_in_several_tasks(spark, monkeypatch):
+    from tallyforge.llm import mixture as X
+
+    seen, settle = [], X.settled
+    monkeypatch.setattr(X, "settled", lambda df: seen.append(df) or settle(df))
+    df = spark.createDataFrame(rows(), "doc_id bigint, source string, n_tokens bigint")
+    mixture(df, spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int"), block_rows=64)
+    assert seen[1].rdd.getNumPartitions() >= 10

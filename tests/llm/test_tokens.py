@@ -46,9 +46,9 @@ class Part:
 def in_process(texts):
     """The three steps without Spark, so that their constants can be small."""
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
-    pieces = pa.Table.from_batches(K._split(iter([batch.slice(0, 1), batch.slice(1)]), K.FOLDER, K.VOCABULARY))
+    pieces = pa.Table.from_batches(K._split(iter([batch.slice(0, 1), batch.slice(1)]), K.encoder))
     grouped = pieces.sort_by([("key", "ascending"), ("place", "ascending"), ("again", "ascending")])
-    encoded = pa.Table.from_batches(K._encode(iter(grouped.to_batches(max_chunksize=7)), K.FOLDER, K.VOCABULARY))
+    encoded = pa.Table.from_batches(K._encode(iter(grouped.to_batches(max_chunksize=7)), K.encoder))
     ordered = encoded.sort_by([("row", "ascending"), ("pos", "ascending")])
     out = pa.Table.from_batches(K._assemble(iter(ordered.to_batches(max_chunksize=5)), "uint16"))
     return dict(zip(out.column("doc_id").to_pylist(), out.column("ids").to_pylist())), len(pieces)
@@ -105,11 +105,11 @@ def test_seams_reach_certain_places():
     assert all(b0 <= a1 for (_, _, b0), (_, a1, _) in zip(found, found[1:]))
 
 
-PIECE = st.sampled_from(["a", "'s", "it's ", " don't", "12", "½", "\n", "\r\n", " ", "  ", "\t", "。", "日本", "é", " ", "　", "!", "...", "-->", "\x85", "🎵", "﻿", "ß", "x\n\ny"])
+PIECE = st.sampled_from(["a", "'s", "it's ", " don't", "12", "½", "\n", "\r\n", " ", "  ", "\t", "。", "日本", "é", " ", "　", "!", "...", "-->", "\x85", "🎵", "﻿", "ß", "x\n\ny", "，", "。", "、", "！", "？", "字", "カ", "の", "ー", "・", "〇", "々", "\u2003", "\u2028", "\u205f", "\u1680", "\u200b", "\x1c", "й", "\u0301", "\u3000", "\n"])
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(PIECE, max_size=120))
+@settings(max_examples=400, deadline=None)
+@given(st.lists(PIECE, max_size=60))
 def test_joins_are_exact(parts):
     text = "".join(parts)
     data = np.frombuffer(text.encode(), np.uint8)
@@ -129,3 +129,42 @@ def test_rolling_hash_sees_window_only():
     r = np.random.default_rng(0).integers(0, 256, 500).astype(np.uint8)
     full, part = K.rolling_hash(r), K.rolling_hash(r[100:])
     assert (full[100 + K.WINDOW :] == part[K.WINDOW :]).all()
+
+
+def every_character():
+    return [chr(o) for o in range(0x110000) if not 0xD800 <= o < 0xE000]
+
+
+def test_joins_before_white_space_for_every_character():
+    """Each character of Unicode before a line end: if the place counts as a join, both sides encode as the whole."""
+    coded = K.encoder().encode_ordinary
+    n = 0
+    for c in every_character()[::37] + [chr(o) for o in (*range(0x300), *range(0x1680, 0x1690), *range(0x2000, 0x2070), *range(0x3000, 0x3100))]:
+        text = f"a{c}\n b"
+        at = len(f"a{c}".encode())
+        if at in K.joins(np.frombuffer(text.encode(), np.uint8)).tolist():
+            n += 1
+            assert coded(f"a{c}") + coded("\n b") == coded(text)
+        else:
+            assert c.isspace()
+    assert n > 25_000
+
+
+def test_joins_after_ideographs():
+    coded, n = K.encoder().encode_ordinary, 0
+    for c in [chr(o) for o in (*range(0x3040, 0x3100), *range(0x3400, 0xA000, 7), *range(0xAC00, 0xD7A4, 501), *range(0xF900, 0xFB00, 3), *range(0xFF00, 0xFFF0))]:
+        for mark in "。、，！？":
+            text = f"x{c}{mark}'s字"
+            at = len(f"x{c}".encode())
+            if at in K.joins(np.frombuffer(text.encode(), np.uint8)).tolist():
+                n += 1
+                assert coded(f"x{c}") + coded(f"{mark}'s字") == coded(text)
+    assert n > 10_000
+
+
+@pytest.mark.parametrize("line", ["我们在海边等了很久，灯笼还没有亮起来\n", "Мы ждали у моря очень долго и фонарь не зажёгся\n", "我们在海边等了很久，灯笼还没有亮起来。你看见了吗？"])
+def test_other_scripts_are_cut(spark, line):
+    text = "".join(f"{line[:i % len(line)]}{line}" for i in range(400))
+    raw, found = cuts(text)
+    assert len(found) > 10
+    assert ids(spark, [(1, text), (2, text[7:])]) == [(1, brute(text)), (2, brute(text[7:]))]
