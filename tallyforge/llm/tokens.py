@@ -83,7 +83,7 @@ def joins(data: np.ndarray) -> np.ndarray:
     solid = SOLID[a]
     wide = np.flatnonzero(a >= 0x80)
     if len(wide):
-        third, second, first = a[wide], a[wide - 1], a[wide - 2]  # a text's first bytes are never the ends of wide characters
+        third, second, first = a[wide], a[np.maximum(wide - 1, 0)], a[np.maximum(wide - 2, 0)]  # first bytes end no wide character
         blank = (second == 0xC2) & ((third == 0x85) | (third == 0xA0))
         blank |= (first == 0xE1) & (second == 0x9A) & (third == 0x80)
         blank |= (first == 0xE2) & (second == 0x80) & ((third <= 0x8A) | (third == 0xA8) | (third == 0xA9) | (third == 0xAF))
@@ -106,7 +106,7 @@ def joins(data: np.ndarray) -> np.ndarray:
 def chunk_cuts(data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, int]]]:
     """The cuts of each text, as (cut, seam start, seam end); text i is data[offsets[i]:offsets[i+1]].
 
-    A cut falls where the rolling hash has its low bits 0, wherever that is in a word: the same content is cut alike
+    A cut falls where the rolling hash has its high bits 0 (as many as MASK has), wherever that is in a word: the same content is cut alike
     in every document. It may part a pre-token, so the ids of both sides need not be those of the whole. Its seam
     reaches from the cut outwards to the first places on both sides where agreement is certain (joins()); an empty
     seam is a cut at such a place. A cut whose seam would reach another seam or an end of the text is not made,
@@ -115,7 +115,8 @@ def chunk_cuts(data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, in
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(offsets) - 1)]
     if len(data) <= LEAST:
         return out
-    hits = np.flatnonzero((rolling_hash(data)[:-1] & np.uint32(MASK)) == 0) + 1
+    # the hash's high bits: only they depend on the whole window
+    hits = np.flatnonzero(rolling_hash(data)[:-1] >> np.uint32(32 - MASK.bit_length()) == 0) + 1
     hits = hits[(data[hits] & 0xC0) != 0x80]  # not inside a character
     safe = joins(data)
     at = np.searchsorted(safe, hits)

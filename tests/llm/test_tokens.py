@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -162,9 +164,10 @@ def test_joins_after_ideographs():
     assert n > 10_000
 
 
-@pytest.mark.parametrize("line", ["我们在海边等了很久，灯笼还没有亮起来\n", "Мы ждали у моря очень долго и фонарь не зажёгся\n", "我们在海边等了很久，灯笼还没有亮起来。你看见了吗？"])
-def test_other_scripts_are_cut(spark, line):
-    text = "".join(f"{line[:i % len(line)]}{line}" for i in range(400))
+@pytest.mark.parametrize("letters,end", [("我们在海边等了很久灯笼还没有亮起来你看见吗", "\n"), ("мыждалиуморяоченьдолгоифонарьнезажёгся", "\n"), ("我们在海边等了很久灯笼还没有亮起来你看见吗", "。"), ("カタカナとひらがな", "、")])
+def test_other_scripts_are_cut(spark, letters, end):
+    r = random.Random(5)
+    text = "".join("".join(r.choices(letters, k=r.randrange(5, 30))) + end for _ in range(1500))
     raw, found = cuts(text)
     assert len(found) > 10
     assert ids(spark, [(1, text), (2, text[7:])]) == [(1, brute(text)), (2, brute(text[7:]))]
