@@ -12,6 +12,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def part_of_table(spark: SparkSession, folder: str, name: str, fraction: float = 1.0, seed: int = 42, most_splits: int = 0) -> DataFrame:
+    """A table for trying things out: a random share of its rows, or the rows of its first input splits only (Parquet has them
+    by row groups). Not used by any query."""
+    df = table(spark, folder, name)
+    if most_splits > 0:
+        df = df.where(F.spark_partition_id() < most_splits)
+    return df.sample(fraction, seed) if fraction < 1 else df
+
+
 def first_column(df: DataFrame, *names: str) -> str | None:
     """The first of several possible columns that a table has."""
     return next((n for n in names if n in df.columns), None)
@@ -33,13 +42,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def _path(spark: SparkSession, path: str):
+def filesystem(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, as the JVM knows them."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    at, files = _path(spark, path)
+    at, files = filesystem(spark, path)
     return files.exists(at)
 
 
@@ -49,7 +59,7 @@ _scratch: list[str] = []
 def scratch_path(spark: SparkSession) -> str:
     """A new path in the shared folder. What is written there is deleted by release(), at the latest when the application ends."""
     path = f"{shared_folder(spark).rstrip('/')}/tallyforge-{uuid.uuid4().hex}"
-    at, files = _path(spark, path)
+    at, files = filesystem(spark, path)
     files.deleteOnExit(at)
     _scratch.append(path)
     return path
@@ -58,7 +68,7 @@ def scratch_path(spark: SparkSession) -> str:
 def release(spark: SparkSession) -> None:
     """Deletes all scratch tables so far; their frames can't be read any more. For between two queries."""
     while _scratch:
-        at, files = _path(spark, _scratch.pop())
+        at, files = filesystem(spark, _scratch.pop())
         files.delete(at, True)
 
 

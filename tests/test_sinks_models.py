@@ -1,5 +1,3 @@
-import json
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,8 +9,10 @@ def test_round_trips(spark, tmp_path):
     df = spark.createDataFrame([(1, "007", 2.5), (2, "8", 0.0)], K.OUTPUT)
     K.write_csv(df, f"{tmp_path}/c", one_file=True)
     assert sorted(map(tuple, K.read_output_csv(spark, f"{tmp_path}/c").collect())) == [(1, "007", 2.5), (2, "8", 0.0)]
-    K.write_json(f"{tmp_path}/a/b.json", {"x": 1})
-    assert json.loads((tmp_path / "a/b.json").read_text()) == {"x": 1} and "| 007 |" in K.markdown(df, "t")
+    for x in (1, 2):
+        K.write_json(spark, f"{tmp_path}/a/b.json", {"x": x})
+    assert K.read_json(spark, f"{tmp_path}/a/b.json") == {"x": 2} and K.read_json(spark, f"{tmp_path}/none") is None
+    assert "| 007 |" in K.markdown(df, "t") and "The first 1 of 2 rows." in K.markdown(df, "t", 1)
     assert K.portal_frame(df).dtypes == [("location", "bigint"), ("item_id", "bigint"), ("quantity", "double")]
     odd = spark.createDataFrame([(1, "a", "x"), (1, "b", "-2"), (1, "c", None), (1, "d", "NaN"), (1, "e", "3")], "location int, item_id string, prediction string")
     assert {r.item_id: r.prediction for r in K.output_frame(odd).collect()} == {"a": 0.0, "b": 0.0, "c": 0.0, "d": 0.0, "e": 3.0}
@@ -25,6 +25,8 @@ def test_stages(spark, tmp_path):
         s.read("x")
     assert s.run("x", build).count() == 3 and s.run("x", build).count() == 3 and len(built) == 1
     assert s.run("x", build, force=True).count() == 3 and len(built) == 2 and s.status(["x", "y"]) == {"x": True, "y": False}
+    for version, n in (("a", 3), ("a", 3), ("b", 4)):
+        assert s.run("x", build, version=version).count() == 3 and len(built) == n
 
 
 def test_models(spark):
@@ -63,3 +65,12 @@ def test_scratch_tables_are_released(spark, tmp_path):
     assert df.count() == 5 and T.exists(spark, path)
     T.release(spark)
     assert not T.exists(spark, path) and not T._scratch
+
+
+def test_part_of_table(spark):
+    from tallyforge.sources.tables import part_of_table, table
+
+    d = "/root/testdata/sf0.001"
+    n = table(spark, d, "lineitem").count()
+    assert 0 < part_of_table(spark, d, "lineitem", 0.1).count() < n / 4
+    assert part_of_table(spark, d, "lineitem", most_splits=1).count() <= n == part_of_table(spark, d, "lineitem").count()
