@@ -36,11 +36,11 @@ def feature_names(types: list[str]) -> list[str]:
 
 
 def feature_table(
-    df: DataFrame, types: list[str], as_of: datetime.date, entity: str = "item_id", kind: str = "event_type",
+    df: DataFrame, types: list[str], as_of: datetime.date | None = None, entity: str = "item_id", kind: str = "event_type",
     day: str = "event_date", value: str = "quantity", block_entities: int = 1024, form: str = "wide",
 ) -> DataFrame:
     """form="wide": one row per entity: for each type t the columns t__count (0 if none), t__recency_days (days from the
-    latest dated event to as_of, negative after it, null if there is none) and t__total (sum of value, 0 if none).
+    latest dated event to as_of, by default the table's last day; negative after it, null if there is none) and t__total (sum of value, 0 if none).
 
     Entities are hashed into buckets; each bucket becomes a dense block entity x type, filled by numpy bincount
     (counts, totals) and a maximum scatter (latest day), and comes out as Arrow columns. A bucket gets
@@ -50,18 +50,19 @@ def feature_table(
 
     A null entity has no row; types not listed (null too) give no features, but their entity has a row; a null
     day counts but has no recency; a null value counts and adds 0; repeated rows count each time; an empty
-    table gives no rows.
+    table gives no rows. More than MOST_TYPES types make too wide a row: feature_groups gives their columns in several tables.
     """
-    if len(types) > MOST_TYPES:
-        raise ValueError(f"{len(types)} types: more than {MOST_TYPES} make too wide a row")
     types = list(dict.fromkeys(types))
-    today, names, width = (as_of - EPOCH).days, feature_names(types), len(types)
+    if len(types) > MOST_TYPES:
+        raise ValueError(f"{len(types)} types: more than {MOST_TYPES} make too wide a row; use feature_groups")
+    names, width = feature_names(types), len(types)
     codes = df.sparkSession.createDataFrame([(t, i) for i, t in enumerate(types)], "__type string, __known int")
     slim = df.select(entity, F.col(kind).alias("__kind"), day, value)
     coded = slim.join(F.broadcast(codes), F.col("__kind") == F.col("__type"), "left")  # at most MOST_TYPES rows
     coded = coded.withColumn("__code", F.coalesce("__known", F.lit(-1)))
     # about so many buckets that one holds block_entities entities; the count is read from a sketch of all rows
-    about = df.agg(F.approx_count_distinct(entity, 0.1)).first()[0]
+    about, last_day = df.agg(F.approx_count_distinct(entity, 0.1), F.max(F.col(day).cast("date"))).first()
+    today = ((as_of or last_day or EPOCH) - EPOCH).days
     buckets = max(1, -(-int(about) // block_entities))
     dense = cells(coded, entity, "__code", day, value).withColumn("bucket", F.pmod(F.xxhash64("entity"), F.lit(buckets)).cast("int"))
     long = T.StructType([T.StructField(entity, T.StringType()), T.StructField("event_type", T.StringType()), T.StructField("n", T.LongType()), T.StructField("recency_days", T.IntegerType()), T.StructField("total", T.LongType())])
@@ -92,3 +93,10 @@ def feature_table(
         return pa.Table.from_arrays(out, names=[entity, *names])
 
     return dense.select("bucket", "entity", "kind", "n", "last_day", "total").groupBy("bucket").applyInArrow(block, schema)
+
+
+def feature_groups(df: DataFrame, types: list[str], as_of: datetime.date | None = None, most: int = MOST_TYPES, **kw: object) -> list[DataFrame]:
+    """The feature table of any number of types, as tables of most types each, in the types' order. Every table has a
+    row for each entity, so they can be joined by it or kept apart."""
+    types = list(dict.fromkeys(types))
+    return [feature_table(df, types[i : i + most], as_of, **kw) for i in range(0, max(1, len(types)), most)]

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import values as V
-from tallyforge.operators.feature_table import EPOCH, MOST_TYPES, feature_table
+from tallyforge.operators.feature_table import MOST_TYPES, feature_table
 from tallyforge.operators.orphans import OrphanState, replay
 from tallyforge.operators.rolling import rolling_totals
 from tallyforge.operators.skew import salted_aggregate
@@ -15,9 +15,8 @@ from tallyforge.sources.tables import table, with_position
 def _features(spark: SparkSession, d: str, form: str) -> DataFrame:
     events = table(spark, d, "event_full_2025")
     listed = [r[0] for r in table(spark, d, "event_types").select("event_type").dropna().distinct().orderBy("event_type").limit(MOST_TYPES + 1).collect()]
-    as_of = events.agg(F.max(F.col("event_date").cast("date"))).first()[0]
     read = events.select(V.item_key(F.col("item_id")).alias("item_id"), V.token(F.col("event_type")).alias("event_type"), "event_date", "quantity")
-    return feature_table(read, listed, as_of or EPOCH, form=form)
+    return feature_table(read, listed, form=form)
 
 
 def p1_features(spark: SparkSession, d: str) -> DataFrame:
@@ -31,6 +30,12 @@ def p1_cells(spark: SparkSession, d: str) -> DataFrame:
     return _features(spark, d, "long")
 
 
+def p1_wide_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 1: the wide table's columns as rows again, zeros and nulls included: item_id, feature, value."""
+    wide = p1_features(spark, d)
+    return wide.select("item_id", *(F.col(c).cast("bigint").alias(c) for c in wide.columns if c != "item_id")).unpivot("item_id", wide.columns[1:], "feature", "value")
+
+
 def _sales(spark: SparkSession, d: str, *more: str) -> DataFrame:
     rows = with_position(table(spark, d, "transaction_full_2025"))
     return rows.select(*more, V.valid_location(F.col("location")).alias("location"), V.item_key(F.col("item_id")).alias("item_id"), "updated_date", "quantity", "price", "customer_id")
@@ -92,7 +97,7 @@ def p5_locations(spark: SparkSession, d: str) -> DataFrame:
     return _per_key(spark, d, "location")
 
 
-QUERIES = {f.__name__: f for f in (p1_features, p1_cells, p3_rolling, p4_found, p4_report, p5_found, p5_items, p5_locations)}
+QUERIES = {f.__name__: f for f in (p1_features, p1_cells, p1_wide_rows, p3_rolling, p4_found, p4_report, p5_found, p5_items, p5_locations)}
 
 
 PAIRS = f"(select case when location >= 0 then location end as location, {item_sql()} as item_id, cast(updated_date as date) as day, quantity from transaction_full_2025)"
@@ -134,6 +139,11 @@ SQL = {
 with e as (select {item_sql()} as item_id, {type_sql()} as event_type, cast(event_date as date) as day, quantity from event_full_2025)
 select item_id, event_type, count(*) as n, cast(date_diff('day', max(day), (select max(day) from e)) as int) as recency_days, cast(coalesce(sum(quantity), 0) as bigint) as total
 from e where item_id is not null and event_type in (select event_type from event_types) group by 1, 2""",
+    "p1_wide_rows": f"""
+with e as (select {item_sql()} as item_id, {type_sql()} as event_type, cast(event_date as date) as day, quantity from event_full_2025),
+ c as (select item_id, event_type, count(*) as n, date_diff('day', max(day), (select max(day) from e)) as ago, coalesce(sum(quantity), 0) as total from e group by 1, 2),
+ w as (select i.item_id, t.event_type, coalesce(n, 0) as n, ago, coalesce(total, 0) as total from (select distinct item_id from e where item_id is not null) i, (select distinct event_type from event_types where event_type is not null) t left join c on c.item_id = i.item_id and c.event_type = t.event_type)
+select item_id, event_type || '__count' as feature, cast(n as bigint) as value from w union all select item_id, event_type || '__recency_days', cast(ago as bigint) from w union all select item_id, event_type || '__total', cast(total as bigint) from w""",
     "p3_rolling": ROLLING,
     "p4_found": CASES + "\nselect distinct table_name, strftime(ts, '%Y-%m') as period, id as item_id, reason from s where reason is not null",
     "p4_report": CASES.replace("select distinct table_name, id, ts from refs", "select table_name, id, ts from refs")

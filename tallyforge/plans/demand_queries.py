@@ -585,6 +585,19 @@ def sample_month_budget(spark, d, s=STAR):
     return S.sample_months(_training(spark, d, s), 4995, "t", [*PAIR, "t"])
 
 
+@query
+def sample_checks(spark, d, s=STAR):
+    """What holds of each sample: rows, positives, rows not of the frame, keys that come twice."""
+    rows = _training(spark, d, s)
+    keys = [*PAIR, "t"]
+    samples = {"positive_first": S.positive_first(rows, 3000, keys), "negative_ratio": S.negative_ratio(rows, 0.5, keys), "month_budget": S.sample_months(rows, 4995, "t", keys)}
+    parts = []
+    for name, got in samples.items():
+        counts = got.groupBy(*keys, "target").agg(F.count(F.lit(1)).alias("n")).join(rows.select(*keys, "target", F.lit(True).alias("known")), [*keys, "target"], "left")
+        parts.append(counts.agg(F.lit(name).alias("sample"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.when(F.col("target") > 0, F.col("n"))), F.lit(0)).alias("positives"), F.count_if(F.col("known").isNull()).alias("unknown"), F.count_if(F.col("n") > 1).alias("twice")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query
 def data_audit_profile(spark, d, s=STAR):
     sales = s.sales(spark, d).select("location", "item_id", "sale_date", F.col("quantity").cast("bigint").alias("quantity"))

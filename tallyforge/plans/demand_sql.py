@@ -366,6 +366,9 @@ select location, item_id, case when sale_status = 0 then 0 else round({REFILLED}
     "sample_month_counts": f"""with {MULTI}, c as (select t, count(*) filter (where target > 0) as p, count(*) filter (where target <= 0) as z from fl group by 1), d as (select *, least(z, ceil(p * 0.5)) as want from c),
  e as (select *, case when p + want <= 555 then p else least(p, 370) end as a from d), f as (select *, case when p + want <= 555 then want else least(z, 555 - a) end as b from e)
 select t, cast(case when b = 0 then least(p, 555) else a end as bigint) as positives, cast(b as bigint) as zeros from f""",
+    "sample_checks": f"""with {MULTI}, c as (select count(*) filter (where target > 0) as p, count(*) filter (where target <= 0) as z from fl), m as (select t, count(*) filter (where target > 0) as p, count(*) filter (where target <= 0) as z from fl group by 1)
+select 'positive_first' as sample, least(p + z, 3000) as n_rows, least(p, 3000) as positives, 0 as unknown, 0 as twice from c union all select 'negative_ratio', p + least(z, cast(ceil(p * 0.5) as bigint)), p, 0, 0 from c
+ union all select 'month_budget', cast(sum(least(p + z, 555)) as bigint), cast(sum(least(p, 555)) as bigint), 0, 0 from m""",
     "data_audit_profile": f"with {VIEWS} " + " union all ".join(f"select '{c}' as column, '{k}' as kind, count(*) as n_rows, count(*) - count({c}) as n_nulls, count(distinct {c}) as n_distinct, cast(min({e}) as varchar) as least, cast(max({e}) as varchar) as greatest from sales" for c, e, k in (("location", "location", "int"), ("item_id", "item_id", "string"), ("sale_date", "sale_date", "date"), ("quantity", "cast(quantity as bigint)", "bigint"))),
     "monthly_summary": f"with {VIEWS} select strftime(sale_date, '%Y-%m') as month, count(*) as n_rows, cast(sum(quantity) as bigint) as quantity, cast(sum(coalesce(quantity * price, 0)) as double) as revenue, count(distinct item_id) as n_items, count(distinct location) as n_locations from sales group by 1",
     "event_type_counts": f"with {VIEWS} select event_type, count(*) as n from engagement group by 1",

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators.feature_table import feature_table
+from tallyforge.operators.feature_table import feature_groups, feature_table
 from tallyforge.operators.orphans import OrphanState, orphan_counts, orphan_report, parent_timeline, reference_states, replay
 from tallyforge.operators.rolling import rolling_totals
 from tallyforge.operators import skew
@@ -98,6 +98,16 @@ def test_feature_table(spark, block):
     assert {(r.item_id, r.event_type): (r.n, r.recency_days, r.total) for r in long} == {(e, t): c for e, x in want.items() for t, c in x.items() if c[0]}
 
 
+def test_groups_of_columns_are_the_whole_table(spark):
+    rows, types = event_rows(5, 600), ["view", "cart", "odd", "never"]
+    df = spark.createDataFrame(rows, "item_id string, event_type string, event_date date, quantity bigint")
+    parts = feature_groups(df, types, most=3)
+    assert [len(p.columns) for p in parts] == [10, 4]
+    whole = {r[0]: tuple(r)[1:] for r in feature_table(df, types).collect()}
+    first, second = ({r[0]: tuple(r)[1:] for r in p.collect()} for p in parts)
+    assert whole == {k: first[k] + second[k] for k in first} and first.keys() == second.keys()
+
+
 def test_feature_table_edges(spark):
     empty = spark.createDataFrame([], "item_id string, event_type string, event_date date, quantity int")
     assert feature_table(empty, ["view"], D(2025, 1, 1)).collect() == []
