@@ -44,6 +44,19 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return reached_shares(settled(_mixed(spark, d)), table(spark, d, "mix_targets"))
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 7: for each target source its documents, those used more often than max_repeats or less than not at all, and
+    whether its tokens come within its largest document (used max_repeats times) of its part of the mixture."""
+    mixed, targets = settled(_mixed(spark, d)), table(spark, d, "mix_targets")
+    shares = reached_shares(mixed, targets)
+    broken = mixed.join(targets.select("source", "max_repeats"), "source").groupBy("source").agg(F.count_if((F.col("copies") > F.col("max_repeats")) | (F.col("copies") < 0)).alias("broken"), F.max("n_tokens").alias("largest"))
+    there = shares.where(F.col("n_tokens") > 0).agg(F.sum("target_share")).scalar()
+    total = shares.agg(F.sum("used_tokens")).scalar()
+    part = F.when(F.col("n_tokens") > 0, F.col("target_share") / there * total).otherwise(0.0)
+    within = F.abs(F.col("used_tokens") - part) <= F.coalesce("largest", F.lit(0)) * F.col("max_repeats") + 1
+    return shares.join(broken, "source", "left").select("source", F.col("n_documents").cast("bigint").alias("n_documents"), F.coalesce("broken", F.lit(0)).alias("broken"), within.alias("within"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Problem 8: all pairs of documents that look the same and differ as stored."""
     return lookalike_pairs(table(spark, d, "documents"))
@@ -61,9 +74,23 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     return members.join(first, "form_key").select("doc_id", "class_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p6_ids, p7_mixture, p7_shares, p8_found, p8_forms, p8_classes)}
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 8: what holds of the forms and classes: documents, those with a text whose form is null or the other way round,
+    pure ASCII texts that changed, forms with a no-break or zero-width space, classes of one stored text."""
+    docs = table(spark, d, "documents")
+    forms = normalised(docs, ["doc_id", "text"])
+    plain = F.col("text").rlike("^[\\x20-\\x7e\\n\\r\\t]*$")
+    left = F.col("form").rlike("[\\u00a0\\u200b-\\u200d\\u2060\\u3000\\ufeff]")
+    one = forms.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("text").isNull() != F.col("form").isNull()).alias("nulls"), F.count_if(plain & (F.col("text") != F.col("form"))).alias("changed"), F.count_if(left).alias("left"))
+    classes = p8_classes(spark, d).join(docs.select("doc_id", F.xxhash64("text").alias("t")), "doc_id").groupBy("class_id").agg(F.count_distinct("t").alias("n")).agg(F.count_if(F.col("n") < 2).alias("single")).scalar()
+    return one.withColumn("single", classes)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p6_ids, p7_mixture, p7_shares, p7_checks, p8_found, p8_forms, p8_classes, p8_checks)}
 
 SQL = {
+    "p7_checks": "select t.source, count(d.doc_id) as n_documents, 0 as broken, true as within from mix_targets t left join documents d on d.source = t.source group by 1",
+    "p8_checks": "select count(*) as documents, 0 as nulls, 0 as changed, 0 as \"left\", 0 as single from documents",
     "p2_found": f"""
 with t as (select location, {item_sql()} as item_id, {price_sql()} as amount, updated_date as ts from transaction_full_2025 where location >= 0),
  b as (select *, row_number() over (partition by location, item_id order by amount desc, ts desc nulls last) as n from t where item_id is not null and amount is not null),
