@@ -150,7 +150,8 @@ def monthly_frame(cube: DataFrame, events: DataFrame, items: DataFrame, targets:
 
     cube is the pair cube from start to the last target, events the event cube of items, or of pairs: then config.event_features
     also gives the pair's own event block. The cube with its metadata is written once; pairs, series and labels are one
-    aggregation of it, all other grains one pass of grouping sets, and a grain's codes come with its sums. blocks
+    aggregation of it, all other grains one pass of grouping sets, and a grain's codes come with its sums. What belongs to an item, its
+    category or its brand is put together by item, so that the pairs meet it in one join, and their location in a second. blocks
     names those a consumer needs: an outer join is not pruned by itself when its columns are.
     """
     sold = settled(with_status(cube, items))
@@ -158,7 +159,7 @@ def monthly_frame(cube: DataFrame, events: DataFrame, items: DataFrame, targets:
     series: Series = {"li_qty": ("qty", full), "li_rev": ("rev", short)}
     more = ["sum(case when m < t then qty end) as __seen"]
     more += ["cast(sum(case when m = t then qty end) as double) as __y", "cast(sum(case when m = t then rev end) as double) as __r"] * label
-    frame = series_base(sold, ["location", "item_id", "category", "brand"], series, targets, tuple(more)).where("__seen > 0").drop("__seen")
+    frame = series_base(sold, ["location", "item_id"], series, targets, tuple(more)).where("__seen > 0").drop("__seen")
     counts = events.groupBy("item_id", "m").agg(F.sum("view_count").alias("view_count"), F.sum("atc_count").alias("atc_count"))
     parts = {
         "item": (["item_id"], None, {"item_qty": ("qty", full), "item_rev": ("rev", short), "item_active_locs": ("active", short)}),
@@ -177,14 +178,27 @@ def monthly_frame(cube: DataFrame, events: DataFrame, items: DataFrame, targets:
     coded = value_codes(wide.select(each.alias("x")).select("x.*")) if codes else None
     columns = {c: c for c in ("location", "item_id", "category", "brand", "t")} | {"target_month_idx": f"t - {start} + 1"}
     code_of = {k: coded.where(F.col("field") == k).select(F.col("value").cast(wide.schema[k].dataType).alias(k), F.col("code").alias(n)) for k, n in named.items()}
+    born = sold.groupBy("item_id", "category", "brand").agg(F.min("m").alias("m"))
+    by_item = for_targets(born, targets).select("item_id", "category", "brand", "t")
+    by_place = None
     for block in blocks:
         keys, source, own = parts[block]
         base = series_base(wide.where(F.col(keys[0]).isNotNull()) if source is None else source, keys, own, targets)
-        if source is None and keys[0] in code_of:
-            base = base.join(code_of.pop(keys[0]), keys)
-        frame, series = frame.join(base, [*keys, "t"], "left"), series | own
-    for key, codes_of_key in code_of.items():
-        frame = frame.join(codes_of_key, key)
+        series = series | own
+        if block == "location":
+            by_place = base
+        elif block == "pair_events":
+            frame = frame.join(base, [*keys, "t"], "left")
+        else:
+            by_item = by_item.join(base, [*keys, "t"], "left")
+    for key in ("item_id", "category", "brand"):
+        if key in code_of:
+            by_item = by_item.join(code_of[key], key)
+    frame = frame.join(by_item, ["item_id", "t"])
+    if by_place is not None:
+        frame = frame.join(by_place, ["location", "t"], "left")
+    if "location" in code_of:
+        frame = frame.join(code_of["location"], "location")
     columns |= {n: n for n in named.values()}
     turn = f"((t - 1) % 12 + 1) * {2 * math.pi / 12!r}D"
     columns |= {"month_sin": f"sin({turn})", "month_cos": f"cos({turn})"} | series_columns(series, start)
