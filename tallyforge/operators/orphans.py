@@ -1,6 +1,6 @@
 """References to keys that are missing, deleted or not there yet: keyed state of references and parents, kept incrementally."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.sources.tables import exists, scratch_path
@@ -38,20 +38,21 @@ def parent_timeline(parents: DataFrame, log: DataFrame) -> DataFrame:
     return timeline(parent_changes(parents, log))
 
 
-def reference_states(references: DataFrame, timeline: DataFrame, per_part: int = PER_PART) -> DataFrame:
+def reference_states(references: DataFrame, timeline: DataFrame, per_part: int = PER_PART, rows: Column | None = None) -> DataFrame:
     """references (key, at and any other columns) with the state of their key at that instant: "there",
     "deleted", "later" or "missing".
 
     Changes and references of a key are replayed in order of time and the last state is carried along, so
     each reference probes the state as it was. The number of a key's parts follows its rows (about per_part each); each
     part has all of the key's changes. Which keys have more than one part is a table of at most rows/per_part rows; how it is
-    joined is left to Spark's size rules.
+    joined is left to Spark's size rules. rows is an expression that is 1 for each reference: one over the references' own
+    columns lets Spark count them and replay them from the same shuffle.
 
     References without key or time are left out. Equal references each get a row.
     """
     extra = [c for c in references.columns if c not in ("key", "at")]
     asked = references.where(F.col("key").isNotNull() & F.col("at").isNotNull())
-    large = asked.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / per_part).cast("int").alias("__parts")).where(F.col("__parts") > 1)
+    large = asked.groupBy("key").agg(F.ceil(F.sum(F.lit(1) if rows is None else rows) / per_part).cast("int").alias("__parts")).where(F.col("__parts") > 1)
     part = F.coalesce(F.pmod(F.xxhash64("at", *extra), "__parts"), F.lit(0)).cast("int")
     rows = asked.join(large, "key", "left").select("key", "at", *extra, part.alias("__part"), F.lit(REFERENCE).alias("place"), F.lit(None).cast("string").alias("state"))
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))
@@ -74,8 +75,8 @@ class OrphanState:
 
     advance() takes one batch: its references probe the parent index; a key of which a new change arrives, in whatever order of
     time, has its waiting references judged anew, which resolves orphans whose parent has come, reopens those of
-    a parent that turns out to be deleted, and tells "missing" from "later". Each batch only writes what it judged (refs)
-    and the keys that changed (touched); a row holds until its key is touched by a later batch.
+    a parent that turns out to be deleted, and tells "missing" from "later". Each batch only writes its new changes and what it
+    judged; a judged row holds until a later batch has changes of its key.
 
     Batches are numbered; a batch that is repeated after a failure replaces what it wrote before."""
 
@@ -97,20 +98,21 @@ class OrphanState:
     def current(self, before: int | None = None) -> DataFrame:
         """key, source, at, n, reason of all references so far."""
         refs = self._read("refs", STATES, before)
-        last = self._read("touched", "key string", before).groupBy("key").agg(F.max("batch").alias("last"))
+        last = self._read("changes", CHANGES, before).groupBy("key").agg(F.max("batch").alias("last"))
         return refs.join(last, "key", "left").where(F.col("last").isNull() | (F.col("batch") >= F.col("last"))).drop("batch", "last")
 
     def advance(self, batch: int, references: DataFrame, parents: DataFrame, log: DataFrame) -> None:
         """references: key, table_name, at; parents: key; log: key, action, at. Null keys, references without table or time have no effect."""
-        known = self._read("changes", CHANGES, batch).drop("batch")
-        new = parent_changes(parents, log).alias("a").join(known.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.place") == F.col("b.place")) & F.col("a.at").eqNullSafe(F.col("b.at")), "left_anti")
+        first = not exists(self.spark, f"{self.folder}/changes")
+        known, new = self._read("changes", CHANGES, batch).drop("batch"), parent_changes(parents, log)
+        if not first:
+            same = (F.col("a.key") == F.col("b.key")) & (F.col("a.place") == F.col("b.place")) & F.col("a.at").eqNullSafe(F.col("b.at"))
+            new = new.alias("a").join(known.alias("b"), same, "left_anti")
         new = self._write(new, "changes", batch)
         asked = combined(references)
-        if batch and exists(self.spark, f"{self.folder}/refs"):
-            touched = self._write(new.select("key").distinct(), "touched", batch)
-            if not touched.isEmpty():
-                asked = asked.unionByName(self.current(batch).drop("reason").join(touched, "key", "left_semi"))
-        states = reference_states(asked, timeline(known.unionByName(new)))
+        if not first:
+            asked = asked.unionByName(self.current(batch).drop("reason").join(new.select("key").distinct(), "key", "left_semi"))
+        states = reference_states(asked, timeline(known.unionByName(new)), rows=F.least("n", F.lit(1)))
         self._write(states.select("key", "source", "at", "n", F.col("state").alias("reason")), "refs", batch)
 
     def counts(self) -> DataFrame:
@@ -125,7 +127,7 @@ class OrphanState:
         return orphan_report(self.counts())
 
 
-def replay(references: DataFrame, parents: DataFrame, log: DataFrame, slices: int = 4) -> OrphanState:
+def replay(references: DataFrame, parents: DataFrame, log: DataFrame, slices: int = 2) -> OrphanState:
     """Whole tables through the state, in slices of time of about equal numbers of references; parents without a date come
     first. The slices' bounds are approximate quantiles; which slice a row comes in has no part in the result."""
     state = OrphanState(references.sparkSession)
