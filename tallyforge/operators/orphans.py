@@ -98,7 +98,8 @@ class OrphanState:
     def current(self, before: int | None = None) -> DataFrame:
         """key, source, at, n, reason of all references so far."""
         refs = self._read("refs", STATES, before)
-        last = self._read("changes", CHANGES, before).groupBy("key").agg(F.max("batch").alias("last"))
+        later = self._read("changes", CHANGES, before).where(F.col("batch") > 0)  # rows of batch 0 can't be older than its changes
+        last = later.groupBy("key").agg(F.max("batch").alias("last"))
         return refs.join(last, "key", "left").where(F.col("last").isNull() | (F.col("batch") >= F.col("last"))).drop("batch", "last")
 
     def advance(self, batch: int, references: DataFrame, parents: DataFrame, log: DataFrame) -> None:
