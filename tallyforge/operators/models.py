@@ -9,6 +9,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, GeneralizedL
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.operators.boosting import fit_weighted
 from tallyforge.operators.sampling import row_weight
 
 NOT_FEATURES = {"location", "item_id", "category", "brand", "t", "target", "target_revenue"}
@@ -58,16 +59,16 @@ def load_model(path: str) -> Model:
 
 def weighted_finals(train: DataFrame, valid: DataFrame, score: DataFrame, names: list[str], folder: str, modes: tuple[str, ...] = ("none", "inv_y", "inv_sqrt_y"), trees: int = 20) -> DataFrame:
     """location, item_id, t, weight_mode, prediction: a model for each weight mode, stopped early on valid, then fitted again on
-    train and valid with the rounds it took, saved under folder and loaded for scoring."""
-    parts = []
-    for mode in modes:
-        first = fit_raw(train, names, weights=mode, trees=trees, valid=valid)
-        save_model(refit(first, train.unionByName(valid), names, weights=mode), f"{folder}/{mode}")
-        parts.append(predict(load_model(f"{folder}/{mode}"), score, names).withColumn("weight_mode", F.lit(mode)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    train and valid with the rounds it took, saved under folder and loaded for scoring. All modes are fitted in the same passes over
+    binned rows, and score is made once for all of them."""
+    weights = {mode: row_weight(F.col("target"), mode) for mode in modes}
+    scored, shown = _vectors(score, names), []
+    for mode, model in fit_weighted(aligned(train, names), aligned(valid, names), names, weights, trees, least=5).items():
+        save_model(model, f"{folder}/{mode}")
+        scored = load_model(f"{folder}/{mode}").setFeaturesCol("__x").setPredictionCol(f"__{mode}").transform(scored)
+        shown.append(F.struct(F.greatest(F.nanvl(f"__{mode}", F.lit(0.0)), F.lit(0.0)).alias("prediction"), F.lit(mode).alias("weight_mode")))
+    keys = [c for c in ("location", "item_id", "t") if c in score.columns]
+    return scored.select(*keys, F.explode(F.array(*shown)).alias("__p")).select(*keys, "__p.*")
 
 
 def fit_linear(df: DataFrame, names: list[str], family: str = "poisson") -> Model:

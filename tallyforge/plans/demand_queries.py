@@ -715,9 +715,9 @@ def linear_models(spark, d, s=STAR):
 def weighted_models_final(spark, d, s=STAR):
     """One model per weight mode, stopped early on the last target, fitted again on all of them with the rounds it took,
     written, read back, and its predictions of the next month."""
-    train, valid, names = _models(spark, d, s)
-    score = _frame(spark, d, s, [s.target + 1], cube=_cube(spark, d, s), label=False)
-    return MO.weighted_finals(train, valid, score, names, scratch_path(spark))
+    frame = settled(_frame(spark, d, s, [*s.targets, s.target + 1], cube=_cube(spark, d, s)))
+    train, valid, score = frame.where(F.col("t") < s.target), frame.where(F.col("t") == s.target), frame.where(F.col("t") > s.target)
+    return MO.weighted_finals(train, valid, score, MO.feature_names(frame), scratch_path(spark))
 
 
 #: Queries that also run over the purchase, event and item tables, as name_2025.

@@ -74,3 +74,41 @@ def test_part_of_table(spark):
     n = table(spark, d, "lineitem").count()
     assert 0 < part_of_table(spark, d, "lineitem", 0.1).count() < n / 4
     assert part_of_table(spark, d, "lineitem", most_splits=1).count() <= n == part_of_table(spark, d, "lineitem").count()
+
+
+def test_weighted_finals_are_sparks_trees_from_two_reads(spark, tmp_path):
+    """Few distinct values, so candidates are the same: rounds and predictions have to be those of Spark's own trainer for each mode, but
+    the rows are made twice (candidates, bins) instead of again and again for each fit, and score once."""
+    df = spark.range(1500).select((F.col("id") % 5).cast("int").alias("location"), F.col("id").cast("string").alias("item_id"), F.lit(1).alias("t"), (F.col("id") * 7 % 31).cast("double").alias("a"), (F.col("id") * 13 % 17).cast("double").alias("b"), F.lit(3.0).alias("same"), (F.hash("id") % 7).cast("double").alias("c"))
+    df = df.withColumn("target", F.greatest(F.lit(0.0), F.col("a") * 2 + F.col("b") * F.col("c") - 20)).withColumn("valid", F.col("item_id").cast("int") % 6 == 5).cache()
+    names, made = ["a", "b", "same", "c"], spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    seen = df.mapInArrow(counted, df.schema)
+    modes = ("none", "inv_y")
+    out = MO.weighted_finals(seen.where("not valid").drop("valid"), seen.where("valid").drop("valid"), df.drop("valid"), names, str(tmp_path), modes, trees=7)
+    got = {(r.weight_mode, r.item_id): r.prediction for r in out.collect()}
+    assert len(got) == 3000 and made.value <= 4 * 1500  # two reads of either part
+    for mode in modes:
+        first = MO.fit_raw(df.where("not valid"), names, weights=mode, trees=7, valid=df.where("valid"))
+        own, saved = MO.refit(first, df, names, weights=mode), MO.load_model(f"{tmp_path}/{mode}")
+        assert saved.getNumTrees == own.getNumTrees and saved.featureImportances.toArray() == pytest.approx(own.featureImportances.toArray(), abs=1e-9)
+        assert all(got[mode, r.item_id] == pytest.approx(r.prediction, abs=1e-9) for r in MO.predict(own, df, names).collect())
+
+
+def test_split_candidates_of_many_values():
+    import numpy as np
+
+    from tallyforge.operators import boosting as BO
+
+    rng = np.random.default_rng(1)
+    values = np.concatenate([np.zeros(50_000), rng.random(50_000)])
+    parts = [BO.squeezed(*np.unique(x, return_counts=True)) for x in np.split(rng.permutation(values), 10)]
+    cuts = BO.thresholds(*BO.merged(parts))
+    shares = np.bincount(np.searchsorted(cuts, values), minlength=32) / len(values)
+    assert 25 <= len(cuts) <= 31 and cuts[0] > 0 and 0.48 < shares[0] < 0.53 and shares[1:].max() < 0.04
+    assert BO.thresholds(np.array([1.0, 3.0, np.nan]), np.array([1, 1, 1])).tolist() == [2.0]
