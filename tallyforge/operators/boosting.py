@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tallyforge.sources.tables import settled
 
 #: Bins of a feature; points that stand for its values where there are more; rows of a stored block, and of those handled at once.
-BINS, POINTS, BLOCK, CHUNK = 32, 256, 4096, 32768
+BINS, POINTS, BLOCK, CHUNK = 32, 256, 1024, 32768
 
 
 def squeezed(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
