@@ -110,23 +110,29 @@ class Tree:
         w, s, _ = self.sums[k]
         return float(s / w) if w > 0 else 0.0
 
-    def places(self, bins: np.ndarray) -> np.ndarray:
-        at = np.zeros(bins.shape[1], np.uint8)
-        for k, (j, b, _) in sorted(self.splits.items()):
-            at += (at == k) * ((bins[j] > b).view(np.uint8) + np.uint8(k + 1))
-        return at
-
-    def predict(self, bins: np.ndarray) -> np.ndarray:
-        values = np.zeros(max(self.sums) + 1)
+    def flat(self) -> "Flat":
+        values = np.zeros(max(self.sums, default=0) + 1)
         for k in self.sums:
             values[k] = self.value(k)
-        return values[self.places(bins)]
+        return [(k, j, b) for k, (j, b, _) in sorted(self.splits.items())], values
 
 
-def predicted(forest: list[Tree], rate: float, bins: np.ndarray) -> np.ndarray:
+#: What a task needs of a tree: its splits in the order of the heap and the nodes' values.
+Flat = tuple[list[tuple[int, int, int]], np.ndarray]
+
+
+def places(tree: Flat, bins: np.ndarray) -> np.ndarray:
+    """Each row's node."""
+    at = np.zeros(bins.shape[1], np.uint8)
+    for k, j, b in tree[0]:
+        at += (at == k) * ((bins[j] > b).view(np.uint8) + np.uint8(k + 1))
+    return at
+
+
+def predicted(forest: list[Flat], rate: float, bins: np.ndarray) -> np.ndarray:
     out = np.zeros(bins.shape[1])
     for m, tree in enumerate(forest):
-        out += tree.predict(bins) * (rate if m else 1.0)
+        out += tree[1][places(tree, bins)] * (rate if m else 1.0)
     return out
 
 
@@ -153,13 +159,14 @@ Job = tuple[int, bool, list[Tree], Tree, list[int]]
 def one_pass(blocks: DataFrame, width: int, jobs: list[Job], rate: float, splits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each job the sums of each node by feature and bin, as node, feature, bin, [weight, sum, sum of squares], and the weighted
     error of the validation rows that it doesn't fit, with their weight. splits: input splits of blocks."""
+    small = [(column, whole, [t.flat() for t in forest], tree.flat(), nodes) for column, whole, forest, tree, nodes in jobs]
     shapes = [(width, 3 if not forest else 2, len(nodes), BINS) for *_, forest, _, nodes in jobs]
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, errors = [np.zeros(s) for s in shapes], np.zeros((len(jobs), 2))
+        sums, errors = [np.zeros(s) for s in shapes], np.zeros((len(small), 2))
         for valid, own, bins in _chunks(batches, width):
             y = own[0]
-            for i, (column, whole, forest, tree, nodes) in enumerate(jobs):
+            for i, (column, whole, forest, tree, nodes) in enumerate(small):
                 w, so_far = own[column], predicted(forest, rate, bins)
                 if valid and not whole:
                     errors[i] += (w * np.abs(y - so_far)).sum(), w.sum()
@@ -168,8 +175,8 @@ def one_pass(blocks: DataFrame, width: int, jobs: list[Job], rate: float, splits
                     continue
                 slot_of = np.full(256, -1)
                 slot_of[nodes] = range(len(nodes))
-                slot, rows, kept = slot_of[tree.places(bins)], slice(None), bins
-                if tree.splits:
+                slot, rows, kept = slot_of[places(tree, bins)], slice(None), bins
+                if tree[0]:
                     rows = np.flatnonzero(slot >= 0)
                     kept = bins.take(rows, axis=1)
                 slot, w, y_own = slot[rows], w[rows], y[rows]
