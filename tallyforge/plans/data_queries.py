@@ -37,7 +37,8 @@ def p1_wide_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sales(spark: SparkSession, d: str, *more: str) -> DataFrame:
-    rows = with_position(table(spark, d, "transaction_full_2025"))
+    rows = table(spark, d, "transaction_full_2025")
+    rows = with_position(rows) if "__position" in more else rows
     return rows.select(*more, V.valid_location(F.col("location")).alias("location"), V.item_key(F.col("item_id")).alias("item_id"), "updated_date", "quantity", "price", "customer_id")
 
 

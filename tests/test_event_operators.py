@@ -154,6 +154,12 @@ def test_rolling_other_windows_and_empty(spark):
     assert got == {1: (1, 1, 1), 2: (0, 0, 1), 3: (0, 0, 0), 4: (5, 5, 5)}
 
 
+def test_rolling_keys_that_are_no_numbers(spark):
+    df = spark.createDataFrame([(1.5, D(2025, 1, 1), 2), (1.5, D(2025, 1, 2), 3), (float("nan"), D(2025, 1, 2), 4), (None, D(2025, 1, 3), 5)], "k double, d date, q int")
+    got = rolling_totals(df, ["k"], "d", "q", (2,))
+    assert not any(f.nullable for f in got.schema) and sorted(tuple(r) for r in got.collect()) == [(1.5, D(2025, 1, 1), 2, 2, 1.0), (1.5, D(2025, 1, 2), 3, 5, 2.5)]
+
+
 def brute_state(key, at, parents, log):
     rows = sorted((a, act != "delisted") for k, act, a in log if k == key and a is not None and act in ("listed", "delisted"))
     if key not in parents and key not in {k for k, _, _ in log}:

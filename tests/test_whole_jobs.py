@@ -1,5 +1,7 @@
 """Queries do the whole job: all months, all features, the operators' own sizes."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 from test_entry import FOLDER
@@ -82,3 +84,17 @@ def test_p3_has_every_day_for_every_pair(spark):
     rows = DQ.QUERIES["p3_rolling"](spark, FOLDER)
     r = rows.agg(F.count(F.lit(1)), F.count_distinct("location", "item_id"), F.datediff(F.max("day"), F.min("day")) + 1).first()
     assert r[0] == r[1] * r[2] and next(n for n in DQ.QUERIES if n.startswith("p3_")) == "p3_rolling"
+
+
+def test_p3_reads_what_it_needs_and_gives_no_nulls(spark):
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = DQ.QUERIES["p3_rolling"](spark, FOLDER)
+        code = rows._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert not any(f.nullable for f in rows.schema)
+    assert "_metadata" not in code.split("Generated code:")[0]
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000  # longer methods aren't compiled by the JVM
